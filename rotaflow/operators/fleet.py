@@ -13,13 +13,15 @@ from rotaflow.plans.timeline import Timeline
 
 def default_tolerances(spark: SparkSession) -> DataFrame:
     """The built-in tolerance table: one row per category and parameter (24)."""
-    rows = [
-        (category, p, *cells[p]) for category, cells in V.TOLERANCES.items() for p in PARAMETERS
-    ]
-    return spark.createDataFrame(
-        rows,
-        "category string, param string, mandatory boolean, max_deviation double, "
-        "min_deviation double, bidirectional boolean",
+    limit = lambda v: "CAST(NULL AS DOUBLE)" if v is None else f"{v}D"
+    rows = ", ".join(
+        f"('{category}', '{p}', {mandatory}, {limit(upper)}, {limit(lower)}, {both})"
+        for category, cells in V.TOLERANCES.items()
+        for p, (mandatory, upper, lower, both) in cells.items()
+    )
+    return spark.sql(
+        f"SELECT * FROM VALUES {rows} "
+        "AS t(category, param, mandatory, max_deviation, min_deviation, bidirectional)"
     )
 
 
@@ -35,7 +37,8 @@ def wide_tolerances(tolerances: DataFrame) -> DataFrame:
                 f"{p}_mandatory"
             ),
         ]
-    return tolerances.groupBy("category").agg(*aggs)
+    # a few dozen rows: one partition saves the exchange
+    return tolerances.coalesce(1).groupBy("category").agg(*aggs)
 
 
 def machine_registry(baselines: DataFrame, category_override: str | None = None) -> DataFrame:
@@ -131,7 +134,7 @@ def tolerance_summary(fleet: DataFrame, tolerances: DataFrame) -> DataFrame:
     position = F.array_position(F.array(*[F.lit(p) for p in PARAMETERS]), F.col("param"))
     need = F.when(F.col("mandatory"), "mandatory").otherwise("optional")
     line = F.concat(rules.title_of(F.col("param")), F.lit(" ("), need, F.lit("): "), limits)
-    by_category = tolerances.groupBy("category").agg(
+    by_category = tolerances.coalesce(1).groupBy("category").agg(
         F.array_sort(F.collect_list(F.struct(position.alias("pos"), line.alias("line")))).alias("l")
     )
     text = by_category.select(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from rotaflow import fixed_values as V
 from rotaflow.functions import rules
 from rotaflow.schemas import feature_names
+from rotaflow.session import cut_lineage
 
 MODEL_TYPES = ("random_forest", "gradient_boosting", "linear")
 
@@ -37,6 +38,7 @@ def _regressor(model_type: str, label: str, seed: int, trees: int):
             maxDepth=10,
             minInstancesPerNode=2,
             featureSubsetStrategy="all",
+            maxMemoryInMB=1024,
             seed=seed,
             **common,
         )
@@ -48,6 +50,13 @@ def _regressor(model_type: str, label: str, seed: int, trees: int):
     raise ValueError(f"unknown model type {model_type}; one of {MODEL_TYPES}")
 
 
+def _stored(split: DataFrame) -> DataFrame:
+    """The training table, kept in the shared folder: every pass of a fit reads it again."""
+    stored = cut_lineage(split)
+    cores = split.sparkSession.sparkContext.defaultParallelism
+    return stored.repartition(cores) if stored.rdd.getNumPartitions() < cores else stored
+
+
 def train_rul(
     split: DataFrame,
     label: str = "rul_days",
@@ -68,7 +77,8 @@ def train_rul(
         StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
         _regressor(model_type, label, seed, trees),
     ]
-    train = split.where(~F.col("is_test")).select(*names, F.col(label).cast("double").alias(label))
+    split = _stored(split.select(*names, F.col(label).cast("double").alias(label), "is_test"))
+    train = split.where(~F.col("is_test")).select(*names, label)
     model = Pipeline(stages=stages).fit(train)
     scored = model.transform(split).select("is_test", label, "prediction")
     spark = split.sparkSession

@@ -95,26 +95,35 @@ def sustained_violation(
     in ``share`` of the last ``history_window`` readings; looked at from the
     26th reading on. ``both_sides`` also counts readings below the lower limit.
     """
-    attached = timeline.attach(counted)
-    recent = timeline.window().rowsBetween(1 - history_window, 0)
 
     def over(p: str):
         flag = rules.above(
             F.col(f"{p}_deviation_pct"), F.coalesce(f"{p}_max", F.lit(V.NO_UPPER_LIMIT))
         )
-        return flag | F.col(f"{p}_min_exceeded") if both_sides else flag
+        return (flag | F.col(f"{p}_min_exceeded") if both_sides else flag).cast("long")
 
-    often = {p: F.sum(over(p).cast("int")).over(recent) for p in PARAMETERS}
+    # counts over the last rows = difference of two running counts; exact for integers
+    # and the same cost for any window
+    w = timeline.window()
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    numbered = counted if "reading_number" in counted.columns else timeline.number(counted)
+    flagged = numbered.withColumns({f"_over_{p}": over(p) for p in PARAMETERS})
+    running = flagged.withColumns(
+        {f"_over_{p}": F.sum(f"_over_{p}").over(upto) for p in PARAMETERS}
+    )
+    often = {
+        p: F.col(f"_over_{p}")
+        - F.coalesce(F.lag(f"_over_{p}", history_window).over(w), F.lit(0))
+        for p in PARAMETERS
+    }
     chosen = F.coalesce(*[F.when(F.col("first_mandatory") == p, often[p]) for p in PARAMETERS])
     first_row = max(V.FIRST_SUSTAINED_ROW, history_window)
-    rated = attached.withColumn("reading_number", timeline.row_number()).withColumn(
-        "_often", chosen
-    )
     sustained = F.coalesce(
-        (F.col("reading_number") >= first_row) & (F.col("_often") >= history_window * share),
+        (F.col("reading_number") >= first_row) & (chosen >= history_window * share),
         F.lit(False),
     )
-    return timeline.core(rated.withColumn("sustained", sustained)).drop("_often")
+    rated = timeline.core(running.withColumn("sustained", sustained))
+    return rated.drop(*[f"_over_{p}" for p in PARAMETERS])
 
 
 def classify_status(
@@ -124,7 +133,10 @@ def classify_status(
     share: float = V.SUSTAINED_SHARE,
     both_sides: bool = False,
 ) -> DataFrame:
-    """Readings with ``status``; one exchange on the machine for the history rule."""
+    """Readings with ``status``; one exchange on the machine for the history rule.
+
+    ``deviations`` may already be numbered by ``timeline``, see ``analyse``.
+    """
     counted = violation_counts(severities(exceedance_flags(deviations)))
     rated = sustained_violation(counted, timeline, history_window, share, both_sides)
     return rated.withColumn(
@@ -138,6 +150,11 @@ def classify_status(
     )
 
 
+def analyse(telemetry: DataFrame, fleet: DataFrame, timeline: Timeline, **options) -> DataFrame:
+    """Deviations and status of all readings, exchanging raw readings only."""
+    return classify_status(deviation_pct(timeline.number(telemetry), fleet), timeline, **options)
+
+
 def processed(classified: DataFrame) -> DataFrame:
     """The analysed table a user keeps: readings, deviations and status."""
     return classified.select(
@@ -300,17 +317,23 @@ def status_episodes(classified: DataFrame, timeline: Timeline) -> DataFrame:
 
 def recommendations(statuses: DataFrame) -> DataFrame:
     """Monitoring interval and actions for each machine's current status."""
-    spark = statuses.sparkSession
-    # rows = the four statuses and their fixed advice
-    advice = spark.createDataFrame(
-        [
-            (s, level, interval, list(watch), list(actions))
-            for s, (level, interval, watch, actions) in V.ADVICE.items()
-        ],
-        "status string, monitoring_level string, monitor_every string, "
-        "watch array<string>, actions array<string>",
-    )
-    return statuses.join(F.broadcast(advice), "status")
+
+    def texts(values):
+        return F.array(*[F.lit(v) for v in values])
+
+    advice = []
+    for status, (level, interval, watch, actions) in V.ADVICE.items():
+        advice += [
+            F.lit(status),
+            F.struct(
+                F.lit(level).alias("monitoring_level"),
+                F.lit(interval).alias("monitor_every"),
+                texts(watch).alias("watch"),
+                texts(actions).alias("actions"),
+            ),
+        ]
+    advised = statuses.withColumn("_advice", F.create_map(*advice)[F.col("status")])
+    return advised.select(*statuses.columns, "_advice.*")
 
 
 # -- chart tables -----------------------------------------------------------------

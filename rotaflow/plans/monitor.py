@@ -62,7 +62,7 @@ class FleetMonitor:
 
     @cached_property
     def classified(self) -> DataFrame:
-        return status.classify_status(self.deviations, self.timeline)
+        return status.analyse(self.telemetry, self.fleet, self.timeline)
 
     def analyze(
         self,

@@ -134,6 +134,14 @@ class Timeline:
             .withColumn(_OFFSET, F.coalesce(_OFFSET, F.lit(0)))
         )
 
+    def number(self, readings: DataFrame) -> DataFrame:
+        """Attached readings with ``reading_number``.
+
+        Numbering raw readings first puts the exchange right behind the scan: it
+        then carries raw columns only, and later steps run on its partitions.
+        """
+        return self.attach(readings).withColumn("reading_number", self.row_number())
+
     def core(self, attached: DataFrame) -> DataFrame:
         """Drop the halo readings and the slice columns."""
         if not self.sliced:

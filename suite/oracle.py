@@ -12,7 +12,7 @@ WIN = f"(PARTITION BY well_id ORDER BY {ORDER})"
 
 
 def r6(expression: str) -> str:
-    return f"round({expression}, 6) + 0e0"
+    return f"round(({expression}) + 3.1e-9, 6) + 0e0"
 
 
 def each(template: str, sep: str = ", ") -> str:
@@ -723,7 +723,7 @@ WORST = "list_position([{0}], list_max([{0}]))".format(
 oracle(
     "join_sensor",
     f"""SELECT sensor_base + w AS "sensorId", count(*) AS anomalies,
-        round(avg([{each('@')}][w]), 6) + 0e0 AS mean_value
+        {r6(f"avg([{each('@')}][w])")} AS mean_value
     FROM (SELECT *, {WORST} AS w FROM edge JOIN sites USING (well_id) WHERE mask > 0)
     GROUP BY 1""",
     "edge",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rotaflow import fixed_values as V
@@ -30,13 +30,23 @@ from rotaflow.sources import readers, warehouse, writers
 from rotaflow.streaming import live
 
 PAUSE_MINUTES = 10_080  # readings of the given tables are days apart
+SHIFT = 3.1e-9
 EVENT_NOW = datetime(2024, 1, 31)
 
 
 def r6(df: DataFrame, *names: str) -> DataFrame:
-    """Rounds the named columns, or all doubles, to six places."""
+    """Rounds the named columns, or all doubles, to six places.
+
+    The shift keeps values that lie half-way between two results (they occur in
+    the given tables) from being rounded by the last bit of a sum.
+    """
     chosen = names or [n for n, t in df.dtypes if t == "double"]
-    return df.withColumns({n: F.round(n, 6) for n in chosen})
+    return df.withColumns({n: F.round(F.col(n) + SHIFT, 6) for n in chosen})
+
+
+def half_safe(column) -> Column:
+    column = F.col(column) if isinstance(column, str) else column
+    return F.round(column + SHIFT, 6)
 
 
 def longs(df: DataFrame) -> DataFrame:
@@ -92,13 +102,11 @@ class Given:
 
     @cached_property
     def classified(self) -> DataFrame:
-        return status.classify_status(self.deviations, self.timeline)
+        return status.analyse(self.telemetry, self.fleet, self.timeline)
 
     @cached_property
     def early_classified(self) -> DataFrame:
-        return status.classify_status(
-            status.deviation_pct(self.telemetry, self.early_fleet), self.timeline
-        )
+        return status.analyse(self.telemetry, self.early_fleet, self.timeline)
 
     @cached_property
     def details(self) -> DataFrame:
@@ -333,7 +341,7 @@ def deviation_pct_edge(g: Given) -> DataFrame:
 
 @query
 def tolerance_category(g: Given) -> DataFrame:
-    return g.fleet.select("well_id", "application", F.round("horsepower", 6).alias("horsepower"),
+    return g.fleet.select("well_id", "application", half_safe("horsepower").alias("horsepower"),
                           "category")
 
 
@@ -517,11 +525,11 @@ def anomaly_payload(g: Given) -> DataFrame:
         "pumpId",
         "sensorId",
         "timestamp",
-        F.round("logValue", 6).alias("logValue"),
+        half_safe("logValue").alias("logValue"),
         F.array_join("additionalContext.parameter", ",").alias("parameter"),
         F.col("additionalContext.status").alias("status"),
         F.col("additionalContext.tolerance_category").alias("tolerance_category"),
-        F.round(F.col("additionalContext.current_values")["flow"], 6).alias("current_flow"),
+        half_safe(F.col("additionalContext.current_values")["flow"]).alias("current_flow"),
         F.col("metadata.modelName").alias("modelName"),
         F.col("metadata.prediction_rul_days").alias("prediction_rul_days"),
         F.col("metadata.prediction_probability").alias("prediction_probability"),
@@ -551,7 +559,7 @@ def simple_payload(g: Given) -> DataFrame:
         context["status"].alias("status"),
         context["tolerance_category"].alias("tolerance_category"),
         context["all_deviations"]["flow"].alias("flow_dev"),
-        F.round(context["baseline_values"]["head"], 6).alias("baseline_head"),
+        half_safe(context["baseline_values"]["head"]).alias("baseline_head"),
     )
 
 
@@ -751,7 +759,7 @@ def join_first_exceedance_value(g: Given) -> DataFrame:
 def join_sensor(g: Given) -> DataFrame:
     payloads = anomalies.anomaly_payload(g.scored.where("mask > 0"), g.sites)
     return payloads.groupBy("sensorId").agg(
-        F.count("*").alias("anomalies"), F.round(F.avg("logValue"), 6).alias("mean_value")
+        F.count("*").alias("anomalies"), half_safe(F.avg("logValue")).alias("mean_value")
     )
 
 
@@ -765,7 +773,7 @@ def join_failure_date(g: Given) -> DataFrame:
 def category_by_hp(g: Given) -> DataFrame:
     return g.fleet.where(F.col("application").isin(*V.HORSEPOWER_APPLICATIONS)).groupBy(
         "application", "category"
-    ).agg(F.count("*").alias("machines"), F.round(F.max("horsepower"), 6).alias("largest_hp"))
+    ).agg(F.count("*").alias("machines"), half_safe(F.max("horsepower")).alias("largest_hp"))
 
 
 # -- aggregations -------------------------------------------------------------------
