@@ -75,50 +75,48 @@ def status_from_counts(
     )
 
 
-def edge_violation(dev: Column, upper: Column, lower: Column, mandatory: Column) -> Column:
-    """Struct of one violated limit (the upper one first), or NULL."""
-
-    def hit(threshold: Column, side: str) -> Column:
-        return F.struct(
-            dev.alias("deviation"),
-            threshold.alias("threshold"),
-            F.lit(side).alias("threshold_type"),
-            mandatory.alias("mandatory"),
-        )
-
-    return F.when(above(dev, upper), hit(upper, "max")).when(
-        below(dev, lower), hit(lower, "min")
-    )
+def edge_limit(dev: Column, upper: Column, lower: Column) -> Column:
+    """The limit a reading violates (the upper one first), or NULL."""
+    return F.when(above(dev, upper), upper).when(below(dev, lower), lower)
 
 
-def edge_violations(params: dict[str, Column]) -> Column:
-    """Map parameter -> violation struct, holding only violated parameters."""
-    entries = F.array(
-        *[F.struct(F.lit(p).alias("key"), v.alias("value")) for p, v in params.items()]
-    )
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+def edge_side(dev: Column, upper: Column, lower: Column) -> Column:
+    return F.when(above(dev, upper), "max").when(below(dev, lower), "min")
 
 
-def edge_status(violations: Column) -> Column:
+def edge_status(hit: dict[str, Column], dev: dict[str, Column], limit: dict[str, Column],
+                mandatory_exceeded: Column) -> Column:
     """Status at the edge: ratio of the largest deviation to the largest limit hit."""
-    values = F.map_values(violations)
-    worst = F.array_max(F.transform(values, lambda v: F.abs(v["deviation"])))
-    limit = F.array_max(
-        F.transform(
-            F.filter(values, lambda v: v["threshold"] != 0), lambda v: F.abs(v["threshold"])
-        )
-    )
-    ratio = worst / F.coalesce(limit, F.lit(V.ZERO_LIMIT_SCALE))
-    any_mandatory = F.exists(values, lambda v: v["mandatory"])
+    worst = F.greatest(*[F.when(hit[p], F.abs(dev[p])) for p in PARAMETERS])
+    largest = F.greatest(*[F.when(limit[p] != 0, F.abs(limit[p])) for p in PARAMETERS])
+    ratio = worst / F.coalesce(largest, F.lit(V.ZERO_LIMIT_SCALE))
     return (
-        F.when(F.size(violations) == 0, "Normal")
-        .when(~any_mandatory, "Warning")
+        F.when(worst.isNull(), "Normal")
+        .when(~mandatory_exceeded, "Warning")
         .when(ratio > V.EDGE_FAILURE_ABOVE, "Failure")
         .when(ratio > V.EDGE_CRITICAL_ABOVE, "Critical")
         .otherwise("Warning")
     )
 
 
+def chosen(flags: dict[str, Column], element: dict[str, Column]) -> Column:
+    """Array of the elements whose flag holds, in parameter order."""
+    return F.flatten(
+        F.array(
+            *[
+                F.when(flags[p], F.array(element[p])).otherwise(F.slice(F.array(element[p]), 1, 0))
+                for p in PARAMETERS
+            ]
+        )
+    )
+
+
+def one_decimal(value: Column) -> Column:
+    """Text with one decimal; a small negative value keeps its sign."""
+    text = value.cast("decimal(20,1)").cast("string")
+    return F.when((value < 0) & (text == "0.0"), "-0.0").otherwise(text)
+
+
 def band_upper(baseline: Column, upper: Column, largest: Column) -> Column:
     return F.when(upper.isNotNull(), baseline * (1 + upper / 100)).otherwise(largest * 1.1)
 
@@ -210,12 +208,10 @@ def slug_of(identifier: Column) -> Column:
 
 
 def iso_z(ts: Column) -> Column:
-    """ISO text with a ``Z``; fractions of a second only where there are any."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.date_format(ts, "SSSSSS")
-    return F.concat(
-        whole, F.when(fraction == "000000", "").otherwise(F.concat(F.lit("."), fraction)), F.lit("Z")
-    )
+    """ISO text with a ``Z``; fractions of a second, six digits, only where there are any."""
+    text = F.translate(ts.cast("timestamp_ntz").cast("string"), " ", "T")
+    full = F.when(F.length(text) == 19, text).otherwise(F.rpad(text, 26, "0"))
+    return F.concat(full, F.lit("Z"))
 
 
 def first_violated(flags: dict[str, Column]) -> Column:

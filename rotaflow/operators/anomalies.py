@@ -18,8 +18,9 @@ def param_map(columns: dict[str, Column]) -> Column:
 def edge_score(telemetry: DataFrame, fleet: DataFrame) -> DataFrame:
     """Scores each reading on its own: no shuffle beyond the dimension join.
 
-    Works on batch and streaming frames alike. Adds ``{p}_dev`` (rounded),
-    ``violations``, ``mandatory_exceeded`` and ``status``.
+    Works on batch and streaming frames alike. Adds per parameter ``{p}_dev``
+    (rounded), ``{p}_limit`` and ``{p}_side`` (NULL unless violated), and ``mask``
+    (bit set of violated parameters), ``mandatory_exceeded`` and ``status``.
     """
     scored = join_baseline(telemetry, fleet).withColumns(
         {
@@ -27,38 +28,51 @@ def edge_score(telemetry: DataFrame, fleet: DataFrame) -> DataFrame:
             for p in PARAMETERS
         }
     )
-    hits = {
-        p: rules.edge_violation(
-            F.col(f"{p}_dev"), F.col(f"{p}_max"), F.col(f"{p}_min"), F.col(f"{p}_mandatory")
-        )
-        for p in PARAMETERS
-    }
-    scored = scored.withColumn("violations", rules.edge_violations(hits))
+    parts = {p: [F.col(f"{p}_{c}") for c in ("dev", "max", "min")] for p in PARAMETERS}
+    scored = scored.withColumns(
+        {f"{p}_limit": rules.edge_limit(*parts[p]) for p in PARAMETERS}
+        | {f"{p}_side": rules.edge_side(*parts[p]) for p in PARAMETERS}
+    )
+    hit = hits()
+    mandatory = F.lit(False)
+    mask = F.lit(0)
+    for bit, p in enumerate(PARAMETERS):
+        mandatory = mandatory | (hit[p] & F.col(f"{p}_mandatory"))
+        mask = mask + F.when(hit[p], 1 << bit).otherwise(0)
+    scored = scored.withColumns({"mask": mask, "mandatory_exceeded": mandatory})
+    dev = {p: F.col(f"{p}_dev") for p in PARAMETERS}
+    limit = {p: F.col(f"{p}_limit") for p in PARAMETERS}
     return scored.withColumn(
-        "mandatory_exceeded",
-        F.exists(F.map_values("violations"), lambda v: v["mandatory"]),
-    ).withColumn("status", rules.edge_status(F.col("violations")))
+        "status", rules.edge_status(hit, dev, limit, F.col("mandatory_exceeded"))
+    )
 
 
-def violation_mask(violations: Column) -> Column:
-    """Bit set of violated parameters, bit 0 = first parameter."""
-    mask = F.lit(0)
-    for bit, p in enumerate(PARAMETERS):
-        mask = mask + F.when(F.map_contains_key(violations, p), 1 << bit).otherwise(0)
-    return mask
+def hits() -> dict[str, Column]:
+    return {p: F.col(f"{p}_limit").isNotNull() for p in PARAMETERS}
 
 
-def worst_parameter(violations: Column) -> Column:
+def violations() -> Column:
+    """Map parameter -> deviation, threshold, side and need, of violated parameters only."""
+    entries = {
+        p: F.struct(
+            F.lit(p).alias("key"),
+            F.struct(
+                F.col(f"{p}_dev").alias("deviation"),
+                F.col(f"{p}_limit").alias("threshold"),
+                F.col(f"{p}_side").alias("threshold_type"),
+                F.col(f"{p}_mandatory").alias("mandatory"),
+            ).alias("value"),
+        )
+        for p in PARAMETERS
+    }
+    return F.map_from_entries(rules.chosen(hits(), entries))
+
+
+def worst_parameter() -> Column:
     """Violated parameter with the largest absolute deviation; the first wins ties."""
-    ranked = F.transform(
-        F.map_entries(violations),
-        lambda e: F.struct(
-            (-F.abs(e["value"]["deviation"])).alias("d"),
-            F.array_position(F.array(*[F.lit(p) for p in PARAMETERS]), e["key"]).alias("i"),
-            e["key"].alias("p"),
-        ),
-    )
-    return F.array_min(ranked)["p"]
+    size = {p: F.when(F.col(f"{p}_limit").isNotNull(), F.abs(f"{p}_dev")) for p in PARAMETERS}
+    largest = F.greatest(*size.values())
+    return F.coalesce(*[F.when(size[p] == largest, F.lit(p)) for p in PARAMETERS])
 
 
 def report_decision(decided: DataFrame) -> DataFrame:
@@ -106,25 +120,25 @@ def anomaly_payload(
     machine; it is left-joined without a forced broadcast. ``scored`` may carry a
     ``prediction`` struct.
     """
-    violations = F.col("violations")
-    percent = lambda c: F.concat(F.format_string("%.1f", c), F.lit("%"))
-    texts = F.transform(
-        F.map_entries(violations),
-        lambda e: F.concat(
-            e["key"],
-            F.lit(": "),
-            percent(e["value"]["deviation"]),
-            F.lit(" (threshold: "),
-            percent(e["value"]["threshold"]),
-            F.lit(")"),
-        ),
-    )
-    worst = worst_parameter(violations)
+    hit = hits()
+    texts = [
+        F.when(
+            hit[p],
+            F.concat(
+                F.lit(f"{p}: "),
+                rules.one_decimal(F.col(f"{p}_dev")),
+                F.lit("% (threshold: "),
+                rules.one_decimal(F.col(f"{p}_limit")),
+                F.lit("%)"),
+            ),
+        )
+        for p in PARAMETERS
+    ]
     prediction = F.col("prediction") if "prediction" in scored.columns else no_prediction()
     known = prediction.isNotNull()
     current = param_map({p: F.col(p).cast("double") for p in PARAMETERS})
     context = F.struct(
-        F.map_keys(violations).alias("parameter"),
+        rules.chosen(hit, {p: F.lit(p) for p in PARAMETERS}).alias("parameter"),
         F.col("status"),
         F.col("category").alias("tolerance_category"),
         param_map({p: F.col(f"{p}_dev") for p in PARAMETERS}).alias("all_deviations"),
@@ -141,18 +155,19 @@ def anomaly_payload(
         prediction["probability"].alias("prediction_probability"),
         F.when(known, F.lit(model_type)).alias("model_type"),
     )
-    joined = scored.join(sites, "well_id", "left").withColumn("_worst", worst)
+    joined = scored.join(sites, "well_id", "left").withColumn("_worst", worst_parameter())
     sensor = F.col("sensor_ids")[F.col("_worst")]
+    measured = F.coalesce(*[F.when(F.col("_worst") == p, F.col(p)) for p in PARAMETERS])
     return joined.select(
         "well_id",
         "ts",
         F.lit("log").alias("sourceType"),
-        F.concat(F.lit("Pump anomaly detected - "), F.array_join(texts, ", ")).alias("description"),
+        F.concat(F.lit("Pump anomaly detected - "), F.concat_ws(", ", *texts)).alias("description"),
         F.col("site_id").alias("siteId"),
         F.col("pump_id").alias("pumpId"),
         sensor.alias("sensorId"),
         rules.iso_z(F.col("ts")).alias("timestamp"),
-        F.when(sensor.isNotNull(), current[F.col("_worst")]).alias("logValue"),
+        F.when(sensor.isNotNull(), measured.cast("double")).alias("logValue"),
         context.alias("additionalContext"),
         metadata.alias("metadata"),
     )
@@ -195,7 +210,7 @@ def inference_result(scored: DataFrame, reported: Column) -> DataFrame:
         F.regexp_replace(rules.iso_z(F.col("ts")), "Z$", "").alias("timestamp"),
         "status",
         param_map({p: F.col(f"{p}_dev") for p in PARAMETERS}).alias("deviations"),
-        "violations",
+        violations().alias("violations"),
         prediction.alias("prediction"),
         reported.alias("reported_to_api"),
     )

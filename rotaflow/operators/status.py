@@ -151,7 +151,13 @@ def classify_status(
 
 
 def analyse(telemetry: DataFrame, fleet: DataFrame, timeline: Timeline, **options) -> DataFrame:
-    """Deviations and status of all readings, exchanging raw readings only."""
+    """Deviations and status of all readings, exchanging raw readings only.
+
+    With hot machines the dimension is joined first: if it is too large to be
+    broadcast, that join must not undo the slices.
+    """
+    if timeline.sliced:
+        return classify_status(deviation_pct(telemetry, fleet), timeline, **options)
     return classify_status(deviation_pct(timeline.number(telemetry), fleet), timeline, **options)
 
 

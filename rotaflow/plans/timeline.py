@@ -124,7 +124,8 @@ class Timeline:
         """Add slice columns; halo readings appear once more in each slice they precede."""
         if not self.sliced:
             return readings
-        slices = F.broadcast(self.slices) if self.small else self.slices
+        slices = self.slices.drop("_before", "_after")
+        slices = F.broadcast(slices) if self.small else slices
         bucket = F.floor(_tick(self.clock, self.numeric_clock) / self.width)
         return (
             readings.withColumn(_BUCKET, bucket)

@@ -12,7 +12,7 @@ WIN = f"(PARTITION BY well_id ORDER BY {ORDER})"
 
 
 def r6(expression: str) -> str:
-    return f"round(({expression}) + 3.1e-9, 6) + 0e0"
+    return f"floor((({expression}) + 3.1e-9) * 1e6 + 5e-1) / 1e6"
 
 
 def each(template: str, sep: str = ", ") -> str:

@@ -41,12 +41,12 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
     the given tables) from being rounded by the last bit of a sum.
     """
     chosen = names or [n for n, t in df.dtypes if t == "double"]
-    return df.withColumns({n: F.round(F.col(n) + SHIFT, 6) for n in chosen})
+    return df.withColumns({n: half_safe(n) for n in chosen})
 
 
 def half_safe(column) -> Column:
     column = F.col(column) if isinstance(column, str) else column
-    return F.round(column + SHIFT, 6)
+    return F.floor((column + SHIFT) * 1e6 + 0.5) / 1e6
 
 
 def longs(df: DataFrame) -> DataFrame:
@@ -122,8 +122,7 @@ class Given:
 
     @cached_property
     def scored(self) -> DataFrame:
-        scored = anomalies.edge_score(self.telemetry, self.fleet)
-        return scored.withColumn("mask", anomalies.violation_mask(F.col("violations")))
+        return anomalies.edge_score(self.telemetry, self.fleet)
 
     @cached_property
     def log(self) -> DataFrame:
@@ -356,7 +355,7 @@ def exceedance_flags(g: Given) -> DataFrame:
 @query
 def violation_map_edge(g: Given) -> DataFrame:
     entries = g.scored.select(
-        "well_id", "ts", F.explode("violations").alias("param", "v")
+        "well_id", "ts", F.explode(anomalies.violations()).alias("param", "v")
     )
     return entries.select("well_id", "ts", "param", "v.*")
 
