@@ -21,10 +21,15 @@ def deviation(current: Column, baseline: Column) -> Column:
     return F.try_divide(current - baseline, baseline) * 100
 
 
+def two_places(value: Column) -> Column:
+    """Rounded to two places, halves to even, never -0.0; plain double arithmetic."""
+    return F.rint(value * 100) / 100 + 0.0
+
+
 def edge_deviation(current: Column, baseline: Column) -> Column:
     """As ``deviation`` but 0 for a zero baseline, rounded to two places."""
     ratio = F.try_divide(current - baseline, baseline) * 100
-    return F.when(baseline == 0, F.lit(0.0)).otherwise(F.round(ratio, 2))
+    return F.when(baseline == 0, F.lit(0.0)).otherwise(two_places(ratio))
 
 
 def tolerance_category(application: Column, horsepower: Column) -> Column:
@@ -147,9 +152,9 @@ def edge_prediction(rul: Column) -> Column:
         F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(rul) / V.RUL_HORIZON_DAYS)
     )
     return F.struct(
-        F.round(floored, 2).alias("rul_days"),
+        two_places(floored).alias("rul_days"),
         probability.otherwise(V.RUL_BEYOND).alias("probability"),
-        F.round(confidence, 2).alias("confidence"),
+        two_places(confidence).alias("confidence"),
     )
 
 

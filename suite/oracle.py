@@ -160,7 +160,7 @@ PARTS |= {
                greatest(0e0, date_diff('microsecond', ts, failure_ts) / 86400000000e0) AS rul
         FROM telemetry JOIN failures USING (well_id)""",
     "edge_dev": f"""
-        SELECT *, {each("round((@ - baseline_@) / baseline_@ * 100, 2) + 0e0 AS @_dev")}
+        SELECT *, {each("round_even((@ - baseline_@) / baseline_@ * 100 * 100, 0) / 100 + 0e0 AS @_dev")}
         FROM telemetry JOIN fleet USING (well_id)""",
     "edge_hit": "SELECT *, "
     + each(
@@ -183,10 +183,10 @@ PARTS |= {
             greatest({each("CASE WHEN @_hit THEN abs(@_limit) ELSE 0 END")}) AS lim
             FROM edge_hit)""",
     "predicted": """
-        SELECT *, round(rul, 2) AS rul_days,
+        SELECT *, round_even(rul * 100, 0) / 100 + 0e0 AS rul_days,
             CASE WHEN rul < 7 THEN 0.9e0 WHEN rul < 14 THEN 0.7e0 WHEN rul < 30 THEN 0.5e0
                  ELSE 0.3e0 END AS probability,
-            round(greatest(0e0, least(1e0, 1 - rul / 30)), 2) AS confidence
+            round_even(greatest(0e0, least(1e0, 1 - rul / 30)) * 100, 0) / 100 + 0e0 AS confidence
         FROM (SELECT *, greatest(0e0, date_diff('microsecond', ts, failure_ts) / 86400000000e0)
                      AS rul FROM edge JOIN failures USING (well_id))""",
     "log": """
