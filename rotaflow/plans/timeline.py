@@ -157,7 +157,8 @@ class Timeline:
         return W.partitionBy(*self.keys()).orderBy(*self.order)
 
     def whole(self) -> WindowSpec:
-        return W.partitionBy(*self.keys())
+        """All readings of the window's partition; ordered like the others to share their sort."""
+        return self.window().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 
     def row_number(self) -> Column:
         """Row number within the whole history of the machine."""
