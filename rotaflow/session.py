@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,10 +17,28 @@ from pyspark.sql import DataFrame, SparkSession
 RECOMMENDED = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hands this package to the executors, so that Python functions run wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = Path(__file__).parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="rotaflow-package-"), "rotaflow_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(home.rglob("*.py")):
+            out.write(file, str(file.relative_to(home.parent)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Applies ``RECOMMENDED`` to a session made elsewhere."""
+    """Applies ``RECOMMENDED`` to a session made elsewhere and ships the package."""
     for key, value in RECOMMENDED.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
