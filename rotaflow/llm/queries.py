@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rotaflow.llm import chat, merge_bpe, packing, quality, sharding, unigram, warc
+from rotaflow.llm import chat, merge_bpe, packing, quality, sharding, substring, unigram, warc
 from rotaflow.session import fresh_path
 
 
@@ -51,6 +51,11 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, tokenizer("byte_bpe_50k.json")), 1024)
 
 
+def op9_substring(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring.deduplicate(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     trees = quality.train(docs, _table(spark, folder, "labels"))
@@ -65,8 +70,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_merge_bpe": op6_merge_bpe,
     "op8_packing": op8_packing,
+    "op9_substring": op9_substring,
     "op10_quality": op10_quality,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (
+            SELECT page_id, COALESCE(html, '') AS body, CAST(strlen(COALESCE(html, '')) AS BIGINT) AS size, sha256(COALESCE(html, '')) AS digest FROM pages
+        ), m AS (SELECT *, MIN(page_id) OVER (PARTITION BY digest) AS first FROM p)
+        SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+               CASE WHEN size >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN size >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM m
+    """,
+    "op2_chat": """
+        WITH t AS (
+            SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations GROUP BY ALL
+        ), n AS (
+            SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS position FROM t
+        ), c AS (
+            SELECT conv_id, LIST(md5(role || chr(1) || text) ORDER BY position) AS turns, COUNT(*) AS n_turns FROM n GROUP BY conv_id
+        ), k AS (
+            SELECT a.conv_id, a.n_turns FROM c a WHERE NOT EXISTS (
+                SELECT 1 FROM c b WHERE b.turns[1] = a.turns[1] AND list_slice(b.turns, 1, a.n_turns) = a.turns
+                AND (b.n_turns > a.n_turns OR b.n_turns = a.n_turns AND b.conv_id < a.conv_id))
+        ), r AS (
+            SELECT n.conv_id, n_turns, position, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS piece FROM n JOIN k USING (conv_id)
+        )
+        SELECT conv_id, n_turns, position, piece,
+               CAST(COALESCE(SUM(LENGTH(piece)) OVER (PARTITION BY conv_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
+        FROM r
+    """,
+    "op9_substring": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), win AS (
+            SELECT doc_id, i, array_to_string(list_slice(words, i, i + 19), ' ') AS s
+            FROM (SELECT doc_id, words, UNNEST(range(1, len(words) - 18)) AS i FROM w)
+        ), ranked AS (
+            SELECT doc_id, i, ROW_NUMBER() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM win
+        ), gone AS (
+            SELECT doc_id, LIST(DISTINCT p) AS places FROM (SELECT doc_id, UNNEST(range(i, i + 20)) AS p FROM ranked WHERE r > 1) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(COALESCE(len(places), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE list_select(words,
+                   list_filter(range(1, len(words) + 1), lambda p: NOT list_contains(places, p))) END, ' ')) AS kept_sha256
+        FROM w LEFT JOIN gone USING (doc_id)
+    """,
+}
