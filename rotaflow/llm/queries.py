@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rotaflow.llm import chat, merge_bpe, packing, quality, sharding, substring, unigram, warc
+from rotaflow.llm import ann, chat, merge_bpe, minhash, packing, quality, sharding, substring, unigram, warc
+from rotaflow.llm.common import tokenizer
 from rotaflow.session import fresh_path
 
 
@@ -16,13 +17,6 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tokenizer(name: str) -> str:
-    """Path of an installed public vocabulary file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "llm-archives")
     warc.write_archives(warc.plan_records(_table(spark, folder, "pages")), path)
@@ -33,6 +27,10 @@ def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render(_table(spark, folder, "conversations"))
 
 
+def op3_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.neighbours(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     found = sharding.shard(_table(spark, folder, "documents"), 8)
     return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -46,6 +44,11 @@ def op6_merge_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return merge_bpe.encode(_table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"), with_ids=False)
 
 
+def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs).select("doc_id", "class_id", "keeper")
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return packing.pack(packing.pieces(docs, tokenizer("byte_bpe_50k.json")), 1024)
@@ -66,9 +69,11 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_chat": op2_chat,
+    "op3_ann": op3_ann,
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
     "op6_merge_bpe": op6_merge_bpe,
+    "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
     "op9_substring": op9_substring,
     "op10_quality": op10_quality,
@@ -103,6 +108,23 @@ ORACLE: dict[str, str] = {
                CAST(COALESCE(SUM(LENGTH(piece)) OVER (PARTITION BY conv_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
         FROM r
     """,
+    "op7_minhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), s AS (
+            SELECT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS shingle
+            FROM (SELECT doc_id, words, UNNEST(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+        ), b AS (SELECT doc_id, shingle, COUNT(*) AS c FROM s GROUP BY ALL),
+        z AS (SELECT doc_id, SUM(c) AS size FROM b GROUP BY doc_id),
+        o AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, SUM(least(x.c, y.c)) AS common FROM b x JOIN b y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL
+        ), e AS (
+            SELECT a, b FROM o JOIN z p ON p.doc_id = a JOIN z q ON q.doc_id = b WHERE 100 * common >= 80 * (p.size + q.size - common)
+        ), r AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+        )
+        SELECT a AS doc_id, MIN(b) AS class_id, a = MIN(b) AS keeper FROM r GROUP BY a
+    """,
     "op9_substring": r"""
         WITH w AS (
             SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents

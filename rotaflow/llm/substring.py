@@ -245,3 +245,21 @@ def deduplicate(docs: DataFrame, window: int = 20) -> DataFrame:
         F.when(copy, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
         F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
     )
+
+
+def cleaned_documents(docs: DataFrame, window: int = 20) -> DataFrame:
+    """``docs`` (all columns and rows) with the kept words as text where words go; other texts stay as they are, to the byte.
+
+    ``n_chars``, if there is such a column, is counted anew for changed texts.
+    """
+    found = deduplicate(docs, window).where("n_removed > 0")
+    changes = found.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.col("kept_text").alias("_kept")).distinct()
+    changes = stored(changes, "changes")
+    content = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    out = docs.join(changes, (content == F.col("_content")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    text = F.when(F.col("_content").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("_content").isNotNull(), F.length("_kept").cast(kind)).otherwise(F.col("n_chars"))
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
