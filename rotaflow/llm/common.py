@@ -149,10 +149,30 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pack_texts(texts: pa.Array) -> pa.Array:
+    """Each text compressed by itself: less to shuffle and store. ``unpack_texts`` needs the sizes in bytes."""
+    return pa.array([pa.compress((t or "").encode(), codec="zstd", asbytes=True) for t in texts.to_pylist()], pa.binary())
+
+
+def unpack_texts(packed: pa.Array, sizes: pa.Array) -> pa.Array:
+    pairs = zip(packed.to_pylist(), sizes.to_pylist(), strict=True)
+    return pa.array([pa.decompress(p, decompressed_size=s, codec="zstd", asbytes=True) for p, s in pairs], pa.binary()).cast(pa.string())
+
+
+def sized_slices(batch: pa.RecordBatch, *sizes: str) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch whose named sizes add up to ``SLICE_BYTES``, or one large row alone."""
+    ends = np.cumsum(sum(column(batch, s).to_numpy(zero_copy_only=False) for s in sizes))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaflow.llm.common import Words, buffer_of, column, mix, slices, stored, windows, words_of
+from rotaflow.llm.common import Words, buffer_of, column, mix, pack_texts, sized_slices, slices, stored, unpack_texts, windows, words_of
 from rotaflow.llm.components import components
 
 SHINGLE = 5
@@ -99,16 +99,11 @@ def _sign(batches):
             bag = np.stack([*sums, size.astype(np.uint64)], axis=1)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
             content = pa.array([b.tobytes() for b in bag], pa.binary())
-            packed = pa.array([pa.compress((t or "").encode(), codec="zstd", asbytes=True) for t in texts.to_pylist()], pa.binary())
             others = [c for c in part.schema.names if c != "text"]
-            found = [pc.if_else(pa.array(size > 0), content, pa.scalar(None, pa.binary())), pa.array(size), lists, packed, pa.array(np.diff(buffer_of(texts)[1])), texts.is_valid()]
+            found = [pc.if_else(pa.array(size > 0), content, pa.scalar(None, pa.binary())), pa.array(size), lists, pack_texts(texts), pa.array(np.diff(buffer_of(texts)[1])), texts.is_valid()]
             yield pa.RecordBatch.from_arrays([*[column(part, c) for c in others], *found], [*others, "_bag", "_size", "_bands", "_packed", "_bytes", "_given"])
 
 
-def _unpack(packed: pa.Array, sizes: pa.Array) -> pa.Array:
-    return pa.array([pa.decompress(p, decompressed_size=s, codec="zstd", asbytes=True) for p, s in zip(packed.to_pylist(), sizes.to_pylist(), strict=True)], pa.binary()).cast(pa.string())
-
-
 def overlap(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Of each pair of texts: the size of the intersection and of the union of their bags."""
     sides = []
@@ -130,10 +125,8 @@ def overlap(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
-            step = 200
-            for low in range(0, batch.num_rows, step):
-                part = batch.slice(low, step)
-                texts = [_unpack(column(part, f"packed_{x}"), column(part, f"bytes_{x}")) for x in "ab"]
+            for part in sized_slices(batch, "bytes_a", "bytes_b"):
+                texts = [unpack_texts(column(part, f"packed_{x}"), column(part, f"bytes_{x}")) for x in "ab"]
                 both, union = overlap(*texts)
                 near = pa.array(100 * both >= percent * union)
                 yield pa.RecordBatch.from_arrays([column(part, "a").filter(near), column(part, "b").filter(near)], ["a", "b"])
@@ -205,9 +198,8 @@ def unpacked(found: DataFrame, columns: list[str], schema) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                part = batch.slice(low, 200)
-                texts = _unpack(column(part, "_packed"), column(part, "_bytes"))
+            for part in sized_slices(batch, "_bytes"):
+                texts = unpack_texts(column(part, "_packed"), column(part, "_bytes"))
                 texts = pc.if_else(column(part, "_given"), texts, pa.scalar(None, pa.string()))
                 yield pa.RecordBatch.from_arrays([texts if c == "text" else column(part, c) for c in columns], columns)
 

@@ -55,7 +55,7 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_substring(spark: SparkSession, folder: str) -> DataFrame:
-    found = substring.deduplicate(_table(spark, folder, "documents"))
+    found = substring.deduplicate(_table(spark, folder, "documents"), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

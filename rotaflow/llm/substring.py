@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaflow.llm.common import Words, column, slices, stored, windows, words_of
+from rotaflow.llm.common import Words, buffer_of, column, pack_texts, sized_slices, slices, stored, unpack_texts, windows, words_of
 from rotaflow.llm.fm_index import FmIndex
 
 ANCHOR = 6  # words whose hashes anchor a segment
@@ -92,13 +92,21 @@ def _scan(window: int):
     return run
 
 
+def _pack(batches):
+    for batch in batches:
+        for part in slices(batch, "text"):
+            texts = column(part, "text")
+            found = [pack_texts(texts), pa.array(np.diff(buffer_of(texts)[1]))]
+            yield pa.RecordBatch.from_arrays([column(part, "doc"), column(part, "content"), *found], ["doc", "content", "packed", "bytes"])
+
+
 def _cut(window: int):
     """The segments of each text whose anchor is among its ``repeated`` ones."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                w = words_of(column(part, "text"))
+            for part in sized_slices(batch, "bytes"):
+                w = words_of(unpack_texts(column(part, "packed"), column(part, "bytes")))
                 anchors, at, count, _ = _segments(w, window)
                 doc = np.searchsorted(w.first, at, "right") - 1
                 wanted = [set(x) for x in column(part, "repeated").to_pylist()]
@@ -110,7 +118,7 @@ def _cut(window: int):
                     for k, n in zip(at[chosen].tolist(), (count[chosen] + window - 1).tolist(), strict=True)
                 ]
                 owner = pa.array(doc[chosen])
-                found = [column(part, "content").take(owner), column(part, "first_id").take(owner), pa.array(at[chosen] - w.first[doc[chosen]])]
+                found = [column(part, "content").take(owner), column(part, "first_id").take(owner), pa.array((at - w.first[doc])[chosen])]
                 found += [pa.array(anchors[chosen], pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(found, ["content", "first_id", "start", "anchor", "words"])
 
@@ -152,8 +160,8 @@ def _remove(window: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                w = words_of(column(part, "text"))
+            for part in sized_slices(batch, "bytes"):
+                w = words_of(unpack_texts(column(part, "packed"), column(part, "bytes")))
                 cover = np.zeros(len(w.start) + 1, np.int64)
                 for first, spans in zip(w.first.tolist(), column(part, "spans").to_pylist(), strict=False):
                     for s in spans:
@@ -174,29 +182,33 @@ def _remove(window: int):
 def repeats(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What repeats in ``docs`` (doc_id, text), as three tables.
 
-    ``scanned``: doc_id, content (SHA-256 of the text), n_words, whole_sha256 and first_id (the smallest doc_id with that text) of each row.
+    ``scanned``: doc_id, content (MD5 of the text), n_words, whole_sha256 and first_id (the smallest doc_id with that text) of each row.
     ``spans``: content and the array ``spans`` of (start, n): n repeated windows from that word on.
-    ``texts``: content and text of those contents that may have spans.
+    ``texts``: content and packed text of those contents that may have spans.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = keyed.withColumns({"content": F.unhex(F.sha2("text", 256)), "doc": F.coalesce("doc_id", F.lit(FIRST))})
+    keyed = keyed.withColumns({"content": F.unhex(F.md5("text")), "doc": F.coalesce("doc_id", F.lit(FIRST))})
     fields = "doc_id bigint, content binary, n_words bigint, whole_sha256 string, anchors array<bigint>"
-    scanned = stored(keyed.select("doc_id", "text", "content").mapInArrow(_scan(window), fields), "scanned")
+    scanned = keyed.select("doc_id", "text", "content").mapInArrow(_scan(window), fields)
+    scanned = stored(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
     own = F.coalesce("doc_id", F.lit(FIRST))
-    firsts = stored(scanned.groupBy("content").agg(F.min(own).alias("first_id"), F.count(F.lit(1)).alias("rows")), "contents")
-    copied = firsts.where("rows > 1").select(F.col("content").alias("same"), "first_id")
+    firsts = scanned.groupBy("content").agg(F.min(own).alias("first_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    copied = stored(firsts.select(F.col("content").alias("same"), "first_id"), "contents")
     whole = scanned.drop("anchors").join(copied, F.col("content") == F.col("same"), "left").drop("same")
-    whole = whole.withColumn("first_id", F.coalesce("first_id", own))
+    whole = stored(whole.withColumn("first_id", F.coalesce("first_id", own)), "whole")
 
     # anchors that occur twice, in different contents or in one
-    one = scanned.select(own.alias("doc"), "content", "anchors").join(copied, F.col("content") == F.col("same"), "left")
-    one = one.where("first_id IS NULL OR doc = first_id")
-    used = one.select(F.explode("anchors").alias("anchor"), "content", "doc")
-    often = stored(used.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("shared")), "anchors")
-    flagged = used.join(often, F.col("anchor") == F.col("shared")).groupBy("content", F.col("doc").alias("first_id")).agg(F.collect_set("anchor").alias("repeated"))
-    flagged = stored(flagged.withColumnsRenamed({"content": "same"}), "flagged")
+    lead = scanned.select("row", "anchors").join(whole.where(own == F.col("first_id")).select("row"), "row")
+    used = stored(lead.select(F.explode("anchors").alias("anchor"), "row"), "anchors")
+    often = used.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("shared"))
+    often = stored(often, "shared-anchors")
+    flagged = used.join(often, F.col("anchor") == F.col("shared")).groupBy("row").agg(F.collect_set("anchor").alias("repeated"))
+    flagged = whole.select("row", F.col("content").alias("same"), "first_id").join(flagged, "row").drop("row")
+    flagged = stored(flagged.dropDuplicates(["same"]), "flagged")
+    packed = keyed.select("doc", "content", "text").mapInArrow(_pack, "doc bigint, content binary, packed binary, bytes bigint")
     same = (F.col("content") == F.col("same")) & (F.col("doc") == F.col("first_id"))
-    texts = stored(keyed.join(flagged, same).select("content", "first_id", "text", "repeated"), "flagged-texts")
+    texts = packed.join(flagged, same).select("content", "first_id", "packed", "bytes", "repeated")
+    texts = stored(texts, "flagged-texts")
 
     cut = "content binary, first_id bigint, start bigint, anchor bigint, words string"
     found = texts.mapInArrow(_cut(window), cut)
@@ -204,10 +216,10 @@ def repeats(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFrame, Da
     key = F.struct(F.col("first_id").alias("doc"), "start", "content")
     different = stored(found.groupBy("anchor", "words").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")), "segments")
     # all but the earliest of equal segments
-    named = found.select("content", "first_id", "start", "anchor", F.sha2("words", 256).alias("name"), (n_words - (window - 1)).alias("n_windows"))
-    multiple = stored(different.where("n > 1").select(F.col("anchor").alias("anchor2"), F.sha2("words", 256).alias("name2"), "first"), "multiple")
+    named = found.select("content", "first_id", "start", "anchor", F.xxhash64("words").alias("name"), (n_words - (window - 1)).alias("n_windows"))
+    multiple = stored(different.where("n > 1").select(F.col("anchor").alias("anchor2"), F.xxhash64("words").alias("name2"), "first.doc", F.col("first.start").alias("start2")), "multiple")
     later = named.join(multiple, (F.col("name") == F.col("name2")) & (F.col("anchor") == F.col("anchor2")))
-    later = later.where("first_id != first.doc OR start != first.start").select("content", "start", F.col("n_windows").alias("n"))
+    later = later.where("first_id != doc OR start != start2").select("content", "start", F.col("n_windows").alias("n"))
 
     sized = different.select("anchor", "words", "first.*", n_words.alias("size"))
     sums = stored(sized.groupBy("anchor").agg(F.sum("size").alias("total")), "anchor-sizes")
@@ -225,15 +237,15 @@ def repeats(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFrame, Da
     inner = rest.groupBy("shard").applyInPandas(_shard_repeats(window), "content binary, start bigint, n bigint")
     every = later.unionByName(inner).unionByName(single)
     spans = every.groupBy("content").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    return whole, spans, texts.select("content", "text")
+    return whole, spans, texts.select("content", "packed", "bytes")
 
 
-def deduplicate(docs: DataFrame, window: int = 20) -> DataFrame:
-    """doc_id, content, n_words, n_removed, kept_sha256 and kept_text (null: the text's words are all kept) of each row."""
+def deduplicate(docs: DataFrame, window: int = 20, with_text: bool = True) -> DataFrame:
+    """doc_id, content, n_words, n_removed, kept_sha256 and, if asked for, kept_text (null: the text's words are all kept) of each row."""
     whole, spans, texts = repeats(docs, window)
     texts = texts.dropDuplicates(["content"]).join(spans, "content")
     cleaned = texts.mapInArrow(_remove(window), "content binary, n_removed bigint, kept_sha256 string, kept_text string")
-    cleaned = stored(cleaned, "cleaned").withColumnRenamed("content", "same")
+    cleaned = stored(cleaned if with_text else cleaned.drop("kept_text"), "cleaned").withColumnRenamed("content", "same")
     copy = (F.coalesce("doc_id", F.lit(FIRST)) != F.col("first_id")) & (F.col("n_words") >= window)
     out = whole.join(cleaned, F.col("content") == F.col("same"), "left")
     nothing = hashlib.sha256(b"").hexdigest()
@@ -243,7 +255,7 @@ def deduplicate(docs: DataFrame, window: int = 20) -> DataFrame:
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
-        F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
+        *([F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []),
     )
 
 
@@ -255,7 +267,7 @@ def cleaned_documents(docs: DataFrame, window: int = 20) -> DataFrame:
     found = deduplicate(docs, window).where("n_removed > 0")
     changes = found.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.col("kept_text").alias("_kept")).distinct()
     changes = stored(changes, "changes")
-    content = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    content = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     out = docs.join(changes, (content == F.col("_content")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
     text = F.when(F.col("_content").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
     new = {"text": text}
