@@ -22,7 +22,7 @@ HASH_BYTES = 1 << 20  # bytes hashed at once, also within one long text
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -38,14 +38,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
 _tables: list[np.ndarray] = []
 
 
 def _tables_for(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _tables or len(_tables[0]) < n:
-        _tables[:] = [_powers(_BASE, n), _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), n)]
+        _tables[:] = [_powers(GOLD, n), _powers(np.uint64(pow(int(GOLD), -1, 1 << 64)), n)]
     return _tables[0], _tables[1]
 
 
@@ -120,7 +120,7 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     total = hashes[:n].copy()
     for k in range(1, size):
-        total = total * _BASE + hashes[k : n + k]
+        total = total * GOLD + hashes[k : n + k]
     last = np.repeat(first[1:], np.diff(first))[:n]
     at = np.flatnonzero(np.arange(n) + size <= last)
     return at, mix(total[at])

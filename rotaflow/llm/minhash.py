@@ -8,7 +8,7 @@ A register keeps its earliest point, so two documents agree in it with probabili
 Processes stop as soon as they are later than all registers of their document.
 
 Documents with equal bags collapse to one node. A band bucket proposes links of its members to one centre; what is verified
-is merged into components. Then, in buckets that still hold several components, every pair across components (whose sizes allow the
+is merged into components, and the other components try a member of the bucket's largest one, ``STARS`` times. Then, in buckets that still hold several components, every pair across components (whose sizes allow the
 similarity) is proposed; pairs inside a component need no test. So no link between different texts in a common bucket is lost.
 A pair at the threshold shares none of ``BANDS`` bands of ``ROWS`` with a probability of 1.3e-7.
 
@@ -23,12 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaflow.llm.common import Words, buffer_of, column, mix, pack_texts, sized_slices, slices, stored, unpack_texts, windows, words_of
+from rotaflow.llm.common import GOLD, Words, buffer_of, column, mix, pack_texts, sized_slices, slices, stored, unpack_texts, windows, words_of
 from rotaflow.llm.components import components
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
+STARS = 3  # rounds that propose one centre per bucket before all pairs across components are
 
 
 def bags(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,7 +42,7 @@ def bags(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = np.zeros(len(short), np.uint64)
         for k in range(SHINGLE):
             some = n_words[short] > k
-            own[some] = mix(own[some] * _GOLD + hashes[w.first[short[some]] + k] + np.uint64(1))
+            own[some] = mix(own[some] * GOLD + hashes[w.first[short[some]] + k] + np.uint64(1))
         doc, keys = np.concatenate([doc, short]), np.concatenate([keys, own])
     order = np.lexsort([keys, doc])
     doc, keys = doc[order], keys[order]
@@ -60,16 +60,16 @@ def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs: int
     low = np.where(level > 0, 1 << np.maximum(level - 1, 0), 0)  # the octave is [low, low + width)
     width = np.maximum(low, 1)
     most = np.repeat(weight, octaves)
-    seed = mix(np.repeat(key, octaves) + level.astype(np.uint64) * _GOLD)
+    seed = mix(np.repeat(key, octaves) + level.astype(np.uint64) * GOLD)
     first = np.full(n_docs * registers, np.inf)
     name = np.zeros(n_docs * registers, np.uint64)
     time = np.zeros(len(d))
     step = np.uint64(0)
     while len(d):
         step += np.uint64(1)
-        drawn = mix(seed + step * _GOLD)
+        drawn = mix(seed + step * GOLD)
         time = time - np.log(((drawn >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / width
-        more = mix(drawn ^ _GOLD)
+        more = mix(drawn ^ GOLD)
         register = ((more >> np.uint64(32)) * np.uint64(registers)) >> np.uint64(32)
         place = low + ((more & np.uint64(0xFFFFFFFF)).astype(np.int64) * width >> 32)
         slot = d * registers + register.astype(np.int64)
@@ -91,11 +91,11 @@ def _sign(batches):
             size = np.bincount(doc, weight, n).astype(np.int64)
             bands = np.zeros((n, BANDS), np.uint64) + mix(np.arange(1, BANDS + 1, dtype=np.uint64))
             for r in range(ROWS):
-                bands = mix(bands * _GOLD + names[:, r::ROWS])
+                bands = mix(bands * GOLD + names[:, r::ROWS])
             count = weight.astype(np.uint64)
             sums = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
             for s, salt in zip(sums, (1, 2), strict=True):  # order-free hashes of the bag
-                np.add.at(s, doc, mix(mix(key + np.uint64(salt)) + count * _GOLD))
+                np.add.at(s, doc, mix(mix(key + np.uint64(salt)) + count * GOLD))
             bag = np.stack([*sums, size.astype(np.uint64)], axis=1)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
             content = pa.array([b.tobytes() for b in bag], pa.binary())
@@ -156,7 +156,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     members = stored(heads.join(full, F.col("bucket") == F.col("same")).select("bucket", "node", "size", "centre"), "members")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
         texts = signed.select("_row", "_packed", "_bytes").join(wanted, "_row")
         texts = stored(texts, "texts")
@@ -164,19 +163,33 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
             pairs = pairs.join(texts.withColumnsRenamed({"_row": x, "_packed": f"packed_{x}", "_bytes": f"bytes_{x}"}), x)
         return stored(pairs.mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
 
-    tested = members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    tested = stored(members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "first-pairs")
     links = verified(tested)
-    found = components(links)
-    where = members.join(found, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("part"))
-    where = stored(where, "placed-members")
-    mixed = where.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select(F.col("bucket").alias("same"))
-    left = stored(where.join(stored(mixed, "mixed"), F.col("bucket") == F.col("same")).drop("same"), "mixed-members")
-    right = left.withColumnsRenamed({"bucket": "bucket2", "node": "node2", "size": "size2", "part": "part2"})
-    across = (F.col("bucket") == F.col("bucket2")) & (F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2"))
-    across &= (100 * F.col("size") >= percent * F.col("size2")) & (100 * F.col("size2") >= percent * F.col("size"))
-    more = left.join(right, across).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    links = links.union(verified(more.distinct().join(tested, ["a", "b"], "left_anti")))
-    found = components(links)
+    for turn in range(STARS + 1):
+        found = components(links)
+        where = members.join(found, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("part"))
+        where = stored(where, "placed-members")
+        mixed = where.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select(F.col("bucket").alias("same"))
+        left = stored(where.join(stored(mixed, "mixed"), F.col("bucket") == F.col("same")).drop("same"), "mixed-members")
+        if turn < STARS:  # another centre, from the largest component of the bucket, for the members of all others
+            drawn = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), "node", "size")).alias("drawn")
+            parts = left.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), drawn)
+            centre = parts.groupBy(F.col("bucket").alias("same")).agg(F.max(F.struct("n", "part", "drawn")).alias("c"))
+            centre = stored(centre.select("same", F.col("c.part").alias("part2"), F.col("c.drawn.node").alias("node2"), F.col("c.drawn.size").alias("size2")), "centres")
+            across = (F.col("bucket") == F.col("same")) & (F.col("part") != F.col("part2"))
+            right = centre
+        else:
+            right = left.withColumnsRenamed({"bucket": "bucket2", "node": "node2", "size": "size2", "part": "part2"})
+            across = (F.col("bucket") == F.col("bucket2")) & (F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2"))
+        across &= (100 * F.col("size") >= percent * F.col("size2")) & (100 * F.col("size2") >= percent * F.col("size"))
+        more = left.join(right, across).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        more = stored(more.join(tested, ["a", "b"], "left_anti"), "more-pairs")
+        if more.isEmpty() and turn == STARS:
+            break
+        tested = tested.union(more)
+        links = links.union(verified(more))
+    else:
+        found = components(links)
 
     first = F.min(F.struct("no", "id", "node")).alias("first")
     named = nodes.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaflow.llm.common import Words, buffer_of, column, pack_texts, sized_slices, slices, stored, unpack_texts, windows, words_of
+from rotaflow.llm.common import GOLD, Words, buffer_of, column, mix, pack_texts, sized_slices, slices, stored, unpack_texts, windows, words_of
 from rotaflow.llm.fm_index import FmIndex
 
 ANCHOR = 6  # words whose hashes anchor a segment
@@ -100,31 +100,47 @@ def _pack(batches):
             yield pa.RecordBatch.from_arrays([column(part, "doc"), column(part, "content"), *found], ["doc", "content", "packed", "bytes"])
 
 
-def _cut(window: int):
-    """The segments of each text whose anchor is among its ``repeated`` ones."""
+def _cut(window: int, named: bool):
+    """The segments of packed texts: by name those whose anchor is among the ``repeated`` ones, or by text the ``wanted`` ones."""
 
     def run(batches):
         for batch in batches:
             for part in sized_slices(batch, "bytes"):
                 w = words_of(unpack_texts(column(part, "packed"), column(part, "bytes")))
-                anchors, at, count, _ = _segments(w, window)
+                anchors, at, count, twice = _segments(w, window)
                 doc = np.searchsorted(w.first, at, "right") - 1
-                wanted = [set(x) for x in column(part, "repeated").to_pylist()]
-                chosen = np.array([k for k, (a, d) in enumerate(zip(anchors.tolist(), doc.tolist(), strict=True)) if a in wanted[d]], np.int64)
-                data = w.data.tobytes()
-                start, end = w.start.tolist(), w.end.tolist()
-                texts = [
-                    b" ".join([data[start[j] : end[j]] for j in range(k, k + n)])
-                    for k, n in zip(at[chosen].tolist(), (count[chosen] + window - 1).tolist(), strict=True)
-                ]
-                owner = pa.array(doc[chosen])
-                found = [column(part, "content").take(owner), column(part, "first_id").take(owner), pa.array((at - w.first[doc])[chosen])]
-                found += [pa.array(anchors[chosen], pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(found, ["content", "first_id", "start", "anchor", "words"])
+                own = at - w.first[doc]
+                if named:
+                    sets = [set(x) for x in column(part, "repeated").to_pylist()]
+                    picked = [k for k, (a, d) in enumerate(zip(anchors.tolist(), doc.tolist(), strict=True)) if a in sets[d]]
+                else:
+                    maps = [{x["start"]: x["hot"] for x in row} for row in column(part, "wanted").to_pylist()]
+                    picked = [k for k, (s, d) in enumerate(zip(own.tolist(), doc.tolist(), strict=True)) if s in maps[d]]
+                picked = np.array(picked, np.int64)
+                owner, size = doc[picked], count[picked] + window - 1
+                found = [column(part, "content").take(pa.array(owner)), column(part, "first_id").take(pa.array(owner)), pa.array(own[picked]), pa.array(anchors[picked], pa.int64())]
+                if named:
+                    names = _span_names(w.hashes(), at[picked], size)
+                    yield pa.RecordBatch.from_arrays([*found, pa.array(names.view(np.int64)), pa.array(size), pa.array(twice[picked])], ["content", "first_id", "start", "anchor", "name", "size", "twice"])
+                    continue
+                data, start, end = w.data.tobytes(), w.start.tolist(), w.end.tolist()
+                spans = zip(at[picked].tolist(), size.tolist(), strict=True)
+                texts = [b" ".join([data[start[j] : end[j]] for j in range(k, k + n)]) for k, n in spans]
+                hot = [maps[d][s] for d, s in zip(owner.tolist(), own[picked].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*found, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(hot, pa.bool_())], ["content", "doc", "start", "anchor", "words", "hot"])
 
     return run
 
 
+def _span_names(hashes: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each run of words."""
+    out = size.astype(np.uint64)
+    for k in range(int(size.max(initial=0))):
+        live = np.flatnonzero(size > k)
+        out[live] = mix(out[live] * GOLD + hashes[at[live] + k])
+    return out
+
+
 def _shard_repeats(window: int):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["doc", "start", "words"], ignore_index=True)
@@ -197,43 +213,46 @@ def repeats(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFrame, Da
     whole = scanned.drop("anchors").join(copied, F.col("content") == F.col("same"), "left").drop("same")
     whole = stored(whole.withColumn("first_id", F.coalesce("first_id", own)), "whole")
 
-    # anchors that occur twice, in different contents or in one
-    lead = scanned.select("row", "anchors").join(whole.where(own == F.col("first_id")).select("row"), "row")
-    used = stored(lead.select(F.explode("anchors").alias("anchor"), "row"), "anchors")
+    # anchors that occur twice, in different texts or in one
+    used = scanned.select(F.explode("anchors").alias("anchor"), "row")
     often = used.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("shared"))
     often = stored(often, "shared-anchors")
     flagged = used.join(often, F.col("anchor") == F.col("shared")).groupBy("row").agg(F.collect_set("anchor").alias("repeated"))
-    flagged = whole.select("row", F.col("content").alias("same"), "first_id").join(flagged, "row").drop("row")
+    flagged = whole.where(own == F.col("first_id")).select("row", F.col("content").alias("same"), "first_id").join(flagged, "row").drop("row")
     flagged = stored(flagged.dropDuplicates(["same"]), "flagged")
     packed = keyed.select("doc", "content", "text").mapInArrow(_pack, "doc bigint, content binary, packed binary, bytes bigint")
     same = (F.col("content") == F.col("same")) & (F.col("doc") == F.col("first_id"))
     texts = packed.join(flagged, same).select("content", "first_id", "packed", "bytes", "repeated")
     texts = stored(texts, "flagged-texts")
 
-    cut = "content binary, first_id bigint, start bigint, anchor bigint, words string"
-    found = texts.mapInArrow(_cut(window), cut)
-    n_words = F.size(F.split("words", " ")).cast("long")
+    # all but the earliest of equal segments repeat as a whole; segments are named by anchor and hash here
+    fields = "content binary, first_id bigint, start bigint, anchor bigint, name bigint, size bigint, twice boolean"
+    named = texts.mapInArrow(_cut(window, named=True), fields)
     key = F.struct(F.col("first_id").alias("doc"), "start", "content")
-    different = stored(found.groupBy("anchor", "words").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")), "segments")
-    # all but the earliest of equal segments
-    named = found.select("content", "first_id", "start", "anchor", F.xxhash64("words").alias("name"), (n_words - (window - 1)).alias("n_windows"))
-    multiple = stored(different.where("n > 1").select(F.col("anchor").alias("anchor2"), F.xxhash64("words").alias("name2"), "first.doc", F.col("first.start").alias("start2")), "multiple")
+    different = named.groupBy("anchor", "name").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.max("twice").alias("twice"))
+    different = stored(different, "segments")
+    multiple = different.where("n > 1").select(F.col("anchor").alias("anchor2"), F.col("name").alias("name2"), "first.doc", F.col("first.start").alias("start2"))
     later = named.join(multiple, (F.col("name") == F.col("name2")) & (F.col("anchor") == F.col("anchor2")))
-    later = later.where("first_id != doc OR start != start2").select("content", "start", F.col("n_windows").alias("n"))
-
-    sized = different.select("anchor", "words", "first.*", n_words.alias("size"))
-    sums = stored(sized.groupBy("anchor").agg(F.sum("size").alias("total")), "anchor-sizes")
+    later = later.where("first_id != doc OR start != start2").select("content", "start", (F.col("size") - (window - 1)).alias("n"))
+
+    # only anchors with several different segments, or one that may repeat itself, are searched
+    sums = different.groupBy("anchor").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("twice"))
+    sums = stored(sums.where("kinds > 1 OR twice").select(F.col("anchor").alias("sought"), "total"), "sought-anchors")
+    wanted = different.join(sums, F.col("anchor") == F.col("sought")).select("first.content", "first.start", F.col("total") > HOT_WORDS)
+    wanted = wanted.toDF("same", "start", "hot").groupBy("same").agg(F.collect_set(F.struct("start", "hot")).alias("wanted"))
+    sought = texts.drop("repeated").join(stored(wanted, "sought-segments"), F.col("content") == F.col("same")).drop("same")
+    sought = sought.dropDuplicates(["content"])
+    fields = "content binary, doc bigint, start bigint, anchor bigint, words string, hot boolean"
+    sized = stored(sought.mapInArrow(_cut(window, named=False), fields), "sought-texts")
     all_words = sums.agg(F.sum("total")).first()[0] or 0
     shards = max(1, -(-all_words // SHARD_WORDS))
-    hot = sums.where(F.col("total") > HOT_WORDS).select(F.col("anchor").alias("hot"))
-    sized = sized.join(hot, F.col("anchor") == F.col("hot"), "left")
-    parts = F.expr(f"transform(sequence(0, size - {window}), i -> struct(i AS i, array_join(slice(split(words, ' '), CAST(i + 1 AS int), {window}), ' ') AS w))")
-    single = sized.where("hot IS NOT NULL").select("doc", "start", "content", F.explode(parts).alias("p"))
+    parts = F.expr(f"transform(sequence(0, size(split(words, ' ')) - {window}), i -> struct(i AS i, array_join(slice(split(words, ' '), CAST(i + 1 AS int), {window}), ' ') AS w))")
+    single = sized.where("hot").select("doc", "start", "content", F.explode(parts).alias("p"))
     single = single.select("doc", (F.col("start") + F.col("p.i")).alias("start"), "content", F.col("p.w").alias("words"))
     leads = stored(single.groupBy("words").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hot-windows")
     single = single.join(leads.select(F.col("words").alias("words2"), "lead"), F.col("words") == F.col("words2"))
     single = single.where("doc != lead.doc OR start != lead.start").select("content", "start", F.lit(1).cast("long").alias("n"))
-    rest = sized.where("hot IS NULL").select("doc", "start", "content", "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    rest = sized.where("NOT hot").select("doc", "start", "content", "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
     inner = rest.groupBy("shard").applyInPandas(_shard_repeats(window), "content binary, start bigint, n bigint")
     every = later.unionByName(inner).unionByName(single)
     spans = every.groupBy("content").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
