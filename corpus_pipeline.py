@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays."""
     tune(spark)
-    kept = minhash.near_duplicates(docs).where("keeper")
+    kept = minhash.near_duplicates(docs).where("_keeper")
     return minhash.unpacked(kept, docs.columns, docs.schema)
 
 

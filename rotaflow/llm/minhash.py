@@ -8,8 +8,10 @@ A register keeps its earliest point, so two documents agree in it with probabili
 Processes stop as soon as they are later than all registers of their document.
 
 Documents with equal bags collapse to one node. A band bucket proposes links of its members to one centre; what is verified
-is merged into components, and the other components try a member of the bucket's largest one, ``STARS`` times. Then, in buckets that still hold several components, every pair across components (whose sizes allow the
-similarity) is proposed; pairs inside a component need no test. So no link between different texts in a common bucket is lost.
+is merged into components, and the other components try a member of the bucket's largest one, ``STARS`` times. What is still outside is
+compared with all texts of that component, in blocks whose tasks return links only, and pairs of documents outside (whose sizes
+allow the similarity) are proposed one by one; pairs inside a component need no test. So no link between different texts in a common
+bucket is lost.
 A pair at the threshold shares none of ``BANDS`` bands of ``ROWS`` with a probability of 1.3e-7.
 
 Null texts count as empty; null ``doc_id`` may be in a class but names it only if all are null; repeated rows are copies of each other.
@@ -18,6 +20,7 @@ Null texts count as empty; null ``doc_id`` may be in a class but names it only i
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -28,7 +31,8 @@ from rotaflow.llm.components import components
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
-STARS = 3  # rounds that propose one centre per bucket before all pairs across components are
+STARS = 3  # rounds that propose one centre per bucket before the rest is compared in blocks
+BLOCK = 500  # texts of a side that are compared in one task group
 
 
 def bags(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,10 +68,9 @@ def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs: int
     first = np.full(n_docs * registers, np.inf)
     name = np.zeros(n_docs * registers, np.uint64)
     time = np.zeros(len(d))
-    step = np.uint64(0)
     while len(d):
-        step += np.uint64(1)
-        drawn = mix(seed + step * GOLD)
+        seed = seed + GOLD
+        drawn = mix(seed)
         time = time - np.log(((drawn >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / width
         more = mix(drawn ^ GOLD)
         register = ((more >> np.uint64(32)) * np.uint64(registers)) >> np.uint64(32)
@@ -134,10 +137,40 @@ def _verify(percent: int):
     return run
 
 
+def first_links(own: pa.Array, others: pa.Array, percent: int) -> list[int]:
+    """For each text of ``own`` the first of ``others`` that is similar, or -1."""
+    doc, key, weight = bags(words_of(others))
+    order = np.argsort(key, kind="stable")
+    doc, key, weight = doc[order], key[order], weight[order]
+    size = np.bincount(doc, weight, len(others))
+    d, k, c = bags(words_of(own))
+    edge = np.searchsorted(d, np.arange(len(own) + 1))
+    low, high = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
+    out = []
+    for s in range(len(own)):
+        mine = slice(edge[s], edge[s + 1])
+        n = high[mine] - low[mine]
+        at = np.repeat(low[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(doc[at], np.minimum(weight[at], np.repeat(c[mine], n)), len(others))
+        near = np.flatnonzero((common > 0) & (100 * common >= percent * (size + c[mine].sum() - common)))
+        out.append(int(near[0]) if len(near) else -1)
+    return out
+
+
+def _links_in_block(percent: int):
+    def run(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        texts = [unpack_texts(pa.array(x["packed"]), pa.array(x["bytes"])) for x in (own, others)]
+        hit = np.array(first_links(*texts, percent), np.int64) if len(own) and len(others) else np.zeros(0, np.int64)
+        found = np.flatnonzero(hit >= 0)
+        return pd.DataFrame({"a": own["node"].to_numpy()[found], "b": others["node"].to_numpy()[hit[found]]})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Columns of ``docs`` but text, with class_id (the smallest doc_id of the class), keeper, and the packed text.
+    """Columns of ``docs`` but text, with _class (the smallest doc_id of the class), _keeper, and the packed text.
 
-    One row of each class is keeper: the first with the smallest doc_id. Two documents are linked if their weighted Jaccard similarity is
+    One row of each class is the keeper: the first with the smallest doc_id. Two documents are linked if their weighted Jaccard similarity is
     ``percent`` or more; classes are the connected components.
     """
     others = [f for f in docs.schema.fields if f.name != "text"]
@@ -149,7 +182,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))).alias("lead")
     nodes = signed.where("_bag IS NOT NULL").groupBy("_bag", "_size").agg(lead)
     nodes = stored(nodes.select(F.col("_bag").alias("bag"), F.col("lead.no").alias("no"), F.col("lead.id").alias("id"), F.col("lead.row").alias("node"), F.col("_size").alias("size")), "nodes")
-    heads = signed.join(nodes.select(F.col("node").alias("_row"), "size"), "_row").select(F.col("_row").alias("node"), "size", F.explode("_bands").alias("bucket"))
+    heads = signed.join(nodes.select(F.col("node").alias("_row"), F.col("size").alias("_total")), "_row").select(F.col("_row").alias("node"), F.col("_total").alias("size"), F.explode("_bands").alias("bucket"))
     heads = stored(heads, "bands")
     full = heads.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     full = stored(full, "buckets").withColumnRenamed("bucket", "same")
@@ -163,45 +196,67 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
             pairs = pairs.join(texts.withColumnsRenamed({"_row": x, "_packed": f"packed_{x}", "_bytes": f"bytes_{x}"}), x)
         return stored(pairs.mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
 
-    tested = stored(members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "first-pairs")
-    links = verified(tested)
-    for turn in range(STARS + 1):
-        found = components(links)
+    alike = (100 * F.col("size") >= percent * F.col("size2")) & (100 * F.col("size2") >= percent * F.col("size"))
+
+    def mixed_buckets(found: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """Members of the buckets with several components, and a member of each one's largest component."""
         where = members.join(found, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("part"))
         where = stored(where, "placed-members")
         mixed = where.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select(F.col("bucket").alias("same"))
         left = stored(where.join(stored(mixed, "mixed"), F.col("bucket") == F.col("same")).drop("same"), "mixed-members")
-        if turn < STARS:  # another centre, from the largest component of the bucket, for the members of all others
-            drawn = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), "node", "size")).alias("drawn")
-            parts = left.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), drawn)
-            centre = parts.groupBy(F.col("bucket").alias("same")).agg(F.max(F.struct("n", "part", "drawn")).alias("c"))
-            centre = stored(centre.select("same", F.col("c.part").alias("part2"), F.col("c.drawn.node").alias("node2"), F.col("c.drawn.size").alias("size2")), "centres")
-            across = (F.col("bucket") == F.col("same")) & (F.col("part") != F.col("part2"))
-            right = centre
-        else:
-            right = left.withColumnsRenamed({"bucket": "bucket2", "node": "node2", "size": "size2", "part": "part2"})
-            across = (F.col("bucket") == F.col("bucket2")) & (F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2"))
-        across &= (100 * F.col("size") >= percent * F.col("size2")) & (100 * F.col("size2") >= percent * F.col("size"))
-        more = left.join(right, across).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        drawn = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), "node", "size")).alias("drawn")
+        parts = left.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), drawn)
+        centre = parts.groupBy(F.col("bucket").alias("same")).agg(F.max(F.struct("n", "part", "drawn")).alias("c"))
+        columns = [F.col("c.part").alias("part2"), F.col("c.drawn.node").alias("node2"), F.col("c.drawn.size").alias("size2")]
+        return left, stored(centre.select("same", *columns), "centres")
+
+    def against_whole(asked: DataFrame, found: DataFrame) -> DataFrame:
+        """A link, if there is one, between each node asked for and each block of the component ``whole``."""
+        count = lambda df, name: df.groupBy("whole").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
+        inside = found.select("node", F.col("component").alias("whole"))
+        blocks = count(asked, "askers").join(count(inside, "blocks"), "whole")
+        blocks = stored(blocks, "blocks")
+        texts = lambda: signed.select(F.col("_row").alias("node"), F.col("_packed").alias("packed"), F.col("_bytes").alias("bytes"))
+        group = ["whole", "block", "asker"]
+        asker, block = F.pmod(F.xxhash64("node"), "askers").alias("asker"), F.pmod(F.xxhash64("node"), "blocks").alias("block")
+        own = asked.join(blocks, "whole").select("whole", "node", asker, F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
+        others = inside.join(blocks, "whole").select("whole", "node", block, F.explode(F.expr("sequence(0L, askers - 1)")).alias("asker"))
+        own, others = (x.join(texts(), "node").groupBy(*group) for x in (own, others))
+        return stored(own.cogroup(others).applyInPandas(_links_in_block(percent), "a bigint, b bigint"), "block-links")
+
+    tested = stored(members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "first-pairs")
+    links = verified(tested)
+    for turn in range(STARS):
+        left, centre = mixed_buckets(components(links), turn)
+        across = (F.col("bucket") == F.col("same")) & (F.col("part") != F.col("part2")) & alike
+        more = left.join(centre, across).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         more = stored(more.join(tested, ["a", "b"], "left_anti"), "more-pairs")
-        if more.isEmpty() and turn == STARS:
-            break
         tested = tested.union(more)
         links = links.union(verified(more))
-    else:
-        found = components(links)
+
+    # what is still outside the largest component of a bucket meets all of that component, and the others outside, in blocks
+    found = components(links)
+    left, centre = mixed_buckets(found, STARS)
+    outside = left.join(centre, F.col("bucket") == F.col("same")).where("part != part2")
+    outside = stored(outside.select("bucket", "node", "size", "part", "part2"), "outside")
+    links = links.union(against_whole(outside.select("node", F.col("part2").alias("whole")).distinct(), found))
+    right = outside.select(F.col("bucket").alias("bucket2"), F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("part").alias("part2"))
+    across = (F.col("bucket") == F.col("bucket2")) & (F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2")) & alike
+    more = outside.drop("part2").join(right, across).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    links = links.union(verified(stored(more.join(tested, ["a", "b"], "left_anti"), "more-pairs")))
+    found = components(links)
 
     first = F.min(F.struct("no", "id", "node")).alias("first")
     named = nodes.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
     classes = stored(named.groupBy("part").agg(first).select("part", "first"), "classes")
-    named = stored(named.join(classes, "part").select(F.col("bag").alias("_same"), F.col("first.id").alias("class_id"), F.col("first.node").alias("_first")), "names")
+    named = stored(named.join(classes, "part").select(F.col("bag").alias("_same"), F.col("first.id").alias("_named"), F.col("first.node").alias("_first")), "names")
     out = signed.join(named, F.col("_bag") == F.col("_same"), "left")
     alone = F.col("_same").isNull()
     keeper = alone | (F.col("_row") == F.col("_first"))
     return out.select(
         *[f"`{f.name}`" for f in others],
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        keeper.alias("keeper"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("_named")).alias("_class"),
+        keeper.alias("_keeper"),
         "_packed", "_bytes", "_given",
     )
 

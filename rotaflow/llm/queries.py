@@ -46,7 +46,7 @@ def op6_merge_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return minhash.near_duplicates(docs).select("doc_id", "class_id", "keeper")
+    return minhash.near_duplicates(docs).select("doc_id", F.col("_class").alias("class_id"), F.col("_keeper").alias("keeper"))
 
 
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
