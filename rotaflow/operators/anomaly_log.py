@@ -100,11 +100,11 @@ def anomaly_query(
     start: str | None = None,
     end: str | None = None,
     days_back: int | None = None,
-    max_results: int | None = 1000,
+    max_results: int | None = None,
     now: datetime | None = None,
     **filters,
 ) -> DataFrame:
-    """Newest matching anomalies, exactly ``max_results`` at most; ``None`` = all."""
+    """Matching anomalies; with ``max_results`` the newest, that many at most."""
     start, end = date_bounds(start, end, days_back, now)
     found = log_filter(log, start=start, end=end, **filters)
     return found if max_results is None else found.orderBy(*_order("desc")).limit(max_results)

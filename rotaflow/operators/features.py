@@ -28,6 +28,7 @@ def engineer_features(
     instead of 168 re-reads per reading for the default windows).
     """
     base = deviations.select("well_id", "ts", "reading_id", *DEVIATIONS)
+    timeline.look_back(max(windows) + 1)
     attached = timeline.with_carry(timeline.attach(base), sums=DEVIATIONS)
     w = timeline.window()
 

@@ -51,6 +51,13 @@ def machine_registry(baselines: DataFrame, category_override: str | None = None)
     return baselines.withColumn("category", category)
 
 
+def one_baseline(baselines: DataFrame) -> DataFrame:
+    """One row per machine: of repeated baselines the smallest, column by column in order; rows without a machine go."""
+    others = [c for c in baselines.columns if c != "well_id"]
+    chosen = baselines.where("well_id IS NOT NULL").groupBy("well_id").agg(F.min(F.struct(*others)).alias("_one"))
+    return chosen.select(*["well_id" if c == "well_id" else F.col(f"_one.{c}").alias(c) for c in baselines.columns])
+
+
 def fleet_limits(
     baselines: DataFrame, tolerances: DataFrame, category_override: str | None = None
 ) -> DataFrame:
@@ -58,7 +65,7 @@ def fleet_limits(
 
     The tolerance table is a handful of categories, so it is always broadcast.
     """
-    registry = machine_registry(baselines, category_override)
+    registry = machine_registry(one_baseline(baselines), category_override)
     return registry.join(F.broadcast(wide_tolerances(tolerances)), "category", "left")
 
 

@@ -96,6 +96,8 @@ def sustained_violation(
     26th reading on. ``both_sides`` also counts readings below the lower limit.
     """
 
+    timeline.look_back(history_window + 1)
+
     def over(p: str):
         flag = rules.above(
             F.col(f"{p}_deviation_pct"), F.coalesce(f"{p}_max", F.lit(V.NO_UPPER_LIMIT))
@@ -416,6 +418,7 @@ def band_excess(series: DataFrame) -> DataFrame:
 
 def deviation_trend(deviations: DataFrame, timeline: Timeline, window: int = 24) -> DataFrame:
     """Change per reading over ``window`` readings; NULL until there are enough."""
+    timeline.look_back(window)
     attached = timeline.attach(deviations.select("well_id", "ts", "reading_id", *DEVIATIONS))
     w = timeline.window()
     trends = attached.withColumns(

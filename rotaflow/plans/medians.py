@@ -16,12 +16,18 @@ from rotaflow.plans.timeline import MAX_ROWS
 from rotaflow.session import cut_lineage
 
 BUCKETS = 1024
+ROUNDS = 200  # each divides a finite range by BUCKETS; doubles need far fewer
 
 
 def medians(
     df: DataFrame, key: str, columns: dict[str, Column], max_rows: int = MAX_ROWS
 ) -> DataFrame:
-    """One row per key with the interpolated median of each column."""
+    """One row per key with the interpolated median of each column.
+
+    NaN and infinite values count as missing, rows without a key are left out.
+    """
+    df = df.where(F.col(key).isNotNull())
+    columns = {name: _finite(c) for name, c in columns.items()}
     plain = lambda part: part.groupBy(key).agg(
         *[F.median(c).alias(name) for name, c in columns.items()]
     )
@@ -38,6 +44,11 @@ def medians(
     return plain(ordinary).unionByName(found)
 
 
+def _finite(column: Column) -> Column:
+    value = column.cast("double")
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+
 def _middle(values: DataFrame, key: str, max_rows: int) -> DataFrame:
     ranks = F.array(
         F.struct(F.lit(0).alias("side"), F.ceil(F.col("n") / 2).alias("rank")),
@@ -49,8 +60,12 @@ def _middle(values: DataFrame, key: str, max_rows: int) -> DataFrame:
         .withColumn("goal", F.explode(ranks))
         .select(key, "goal.side", "goal.rank", "lo", "hi", F.lit(0).cast("long").alias("below"), "n")
     )
-    while not goal.where(f"n > {max_rows} and lo < hi").isEmpty():
+    for _ in range(ROUNDS):
+        if goal.where(f"n > {max_rows} and lo < hi").isEmpty():
+            break
         goal = cut_lineage(_narrow(values, goal, key, max_rows))
+    else:
+        raise RuntimeError(f"medians not found after {ROUNDS} rounds")
 
     # two rows per key are left; ranks within the narrowed range finish the search
     single = goal.where("lo = hi").select(key, "side", F.col("lo").alias("v"))

@@ -64,6 +64,7 @@ class Timeline:
     width: int = WIDTHS[0]
     slices: DataFrame | None = None
     small: bool = True
+    halo: int = HALO_ROWS
 
     # -- planning -------------------------------------------------------------
 
@@ -83,7 +84,8 @@ class Timeline:
         clock = order[0]
         tick = _tick(clock, numeric_clock)
         plain = Timeline(key, tuple(order), clock, numeric_clock)
-        hot = readings.groupBy(key).count().where(F.col("count") > max_rows).select(key)
+        known = readings.where(F.col(key).isNotNull())  # rows without a machine are in no timeline
+        hot = known.groupBy(key).count().where(F.col("count") > max_rows).select(key)
         if hot.isEmpty():
             return plain
 
@@ -112,6 +114,7 @@ class Timeline:
             width,
             slices,
             slices.count() <= BROADCAST_ROWS,
+            halo,
         )
 
     @property
@@ -120,6 +123,11 @@ class Timeline:
 
     # -- use ------------------------------------------------------------------
 
+    def look_back(self, rows: int) -> None:
+        """Refuses a frame that looks further back than the slices' halo, instead of giving wrong rows."""
+        if self.sliced and rows > self.halo:
+            raise ValueError(f"a frame of {rows} earlier readings needs Timeline.of(..., halo={rows}); this one has {self.halo}")
+
     def attach(self, readings: DataFrame) -> DataFrame:
         """Add slice columns; halo readings appear once more in each slice they precede."""
         if not self.sliced:

@@ -1134,7 +1134,11 @@ oracle(
     "SELECT well_id, count(*) AS readings, count(*) >= 600 AS ready FROM telemetry GROUP BY well_id",
     "telemetry",
 )
-oracle("stream_dedup", "SELECT DISTINCT well_id, ts FROM telemetry", "telemetry")
+oracle(
+    "stream_dedup",
+    f"SELECT well_id, ts, {', '.join(PARAMETERS)} FROM telemetry",
+    "telemetry",
+)
 oracle(
     "scale_features",
     "SELECT well_id, ts, "

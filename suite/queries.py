@@ -999,7 +999,7 @@ def anomaly_page_total(g: Given) -> DataFrame:
 
 @query
 def anomaly_query(g: Given) -> DataFrame:
-    return anomaly_log.anomaly_query(g.log, days_back=7, now=EVENT_NOW).drop("cameraId")
+    return anomaly_log.anomaly_query(g.log, days_back=7, max_results=1000, now=EVENT_NOW).drop("cameraId")
 
 
 @query
@@ -1069,7 +1069,7 @@ def stream_debounce(g: Given) -> DataFrame:
 
 @query
 def stream_dedup(g: Given) -> DataFrame:
-    once = live.watermarked(_live(g)).select("well_id", "ts")
+    once = live.watermarked(_live(g), dedup=True).select("well_id", "ts", *PARAMETERS)
     return live.run_to_table(once, g.path("once"), g.path("once-state"))
 
 

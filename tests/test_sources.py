@@ -112,6 +112,10 @@ def test_outbox_batch_is_idempotent(spark, tmp_path):
         writers.append_outbox(batch, path, 3)
     writers.append_outbox(batch, path, 4)
     assert spark.read.parquet(path).count() == 2
+    for _ in range(2):  # calls without a number add
+        writers.append_outbox(batch, path)
+    writers.append_outbox(batch, path, 3, "another run")
+    assert spark.read.parquet(path).count() == 5
 
 
 def test_date_bounds():
