@@ -9,8 +9,8 @@ Processes stop as soon as they are later than all registers of their document.
 
 Documents with equal bags collapse to one node. A band bucket proposes links of its members to one centre; what is verified
 is merged into components, and the other components try a member of the bucket's largest one, ``STARS`` times. What is still outside is
-compared with all texts of that component, in blocks whose tasks return links only, and pairs of documents outside (whose sizes
-allow the similarity) are proposed one by one; pairs inside a component need no test. So no link between different texts in a common
+compared with all texts of that component, in blocks whose tasks return links only. Documents outside after that are paired with the others
+that were outside (if their sizes allow the similarity); pairs inside a component need no test. So no link between different texts in a common
 bucket is lost.
 A pair at the threshold shares none of ``BANDS`` bands of ``ROWS`` with a probability of 1.3e-7.
 
@@ -240,9 +240,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     outside = left.join(centre, F.col("bucket") == F.col("same")).where("part != part2")
     outside = stored(outside.select("bucket", "node", "size", "part", "part2"), "outside")
     links = links.union(against_whole(outside.select("node", F.col("part2").alias("whole")).distinct(), found))
-    right = outside.select(F.col("bucket").alias("bucket2"), F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("part").alias("part2"))
-    across = (F.col("bucket") == F.col("bucket2")) & (F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2")) & alike
-    more = outside.drop("part2").join(right, across).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    found = components(links)
+    left, centre = mixed_buckets(found, STARS + 1)
+    still = left.join(centre, F.col("bucket") == F.col("same")).where("part != part2").select("bucket", "node", "size", "part")
+    right = outside.select("bucket", "node", "size").join(found, "node", "left").select(
+        F.col("bucket").alias("bucket2"), F.col("node").alias("node2"), F.col("size").alias("size2"), F.coalesce("component", "node").alias("part2")
+    )
+    across = (F.col("bucket") == F.col("bucket2")) & (F.col("part") != F.col("part2")) & alike
+    more = stored(still, "still-outside").join(stored(right, "were-outside"), across)
+    more = more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     links = links.union(verified(stored(more.join(tested, ["a", "b"], "left_anti"), "more-pairs")))
     found = components(links)
 
