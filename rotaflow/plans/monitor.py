@@ -26,7 +26,7 @@ class FleetMonitor:
     ):
         self.spark = spark
         self.tolerances = tolerances or fleet.default_tolerances(spark)
-        self.fleet = fleet.fleet_limits(baselines, self.tolerances, category_override)
+        self.fleet = fleet.fleet_limits(fleet.one_baseline(baselines), self.tolerances, category_override)
         self.max_rows = max_rows
         self._telemetry: DataFrame | None = None
         self._trained: model.Trained | None = None
