@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaflow.session import fresh_path
+from rotaflow.session import fresh_path, shared_folder
 
 SLICE_BYTES = 1 << 20  # text handled at once in a Python worker; one longer text is handled alone
 HASH_BYTES = 1 << 20  # bytes hashed at once, also within one long text
@@ -169,11 +169,33 @@ def sized_slices(batch: pa.RecordBatch, *sizes: str) -> Iterator[pa.RecordBatch]
         low = high
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: a lost executor costs no recomputation."""
-    path = fresh_path(df.sparkSession, f"llm-{name}")
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes ``df`` to the shared folder and reads it back: a lost executor costs no recomputation.
+
+    The shuffle files of the write go when it has ended; nothing reads them again.
+    """
+    spark = df.sparkSession
+    path, before = fresh_path(spark, f"llm-{name}"), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the stored tables that ``tables`` read. No frame that is evaluated later may depend on them; other files are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        ours = f"{shared_folder(spark).rstrip('/')}/rotaflow/llm-".split(":", 1)[-1].lstrip("/")
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if ours in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ranked(df: DataFrame, group: str, tie: list, spread, name: str, buckets: int = 256) -> DataFrame:

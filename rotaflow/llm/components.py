@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaflow.llm.common import stored
+from rotaflow.llm.common import release, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,9 +24,11 @@ def components(edges: DataFrame) -> DataFrame:
         own = F.struct(F.xxhash64("a", salt).alias("h"), F.col("a").alias("to"))
         step = stored(near.select(F.col("a").alias("node"), F.least("m", own)["to"].alias("to")), "hooks")
         steps.append(step)
+        before = edges
         for side in ("a", "b"):
             edges = edges.join(step.withColumnsRenamed({"node": side}), side).drop(side).withColumnRenamed("to", side)
         edges = stored(edges.where("a != b").distinct(), "edges")
+        release(before)
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = steps[-1]
@@ -34,5 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
         later = labels.select(F.col("node").alias("to"), F.col("to").alias("last"))
         labels = step.join(later, "to", "left").select("node", F.coalesce("last", "to").alias("to"))
     labels = stored(labels, "labels")
-    names = labels.groupBy("to").agg(F.min("node").alias("component"))
-    return stored(labels.join(stored(names, "names"), "to").select("node", "component"), "components")
+    release(edges, *steps)
+    names = stored(labels.groupBy("to").agg(F.min("node").alias("component")), "names")
+    found = stored(labels.join(names, "to").select("node", "component"), "components")
+    release(labels, names)
+    return found

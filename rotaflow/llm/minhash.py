@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaflow.llm.common import GOLD, Words, buffer_of, column, mix, pack_texts, sized_slices, slices, stored, unpack_texts, windows, words_of
+from rotaflow.llm.common import GOLD, Words, buffer_of, column, mix, pack_texts, release, sized_slices, slices, stored, unpack_texts, windows, words_of
 from rotaflow.llm.components import components
 
 SHINGLE = 5
@@ -187,6 +187,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     full = heads.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     full = stored(full, "buckets").withColumnRenamed("bucket", "same")
     members = stored(heads.join(full, F.col("bucket") == F.col("same")).select("bucket", "node", "size", "centre"), "members")
+    release(heads, full)
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
@@ -194,16 +195,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         texts = stored(texts, "texts")
         for x in "ab":
             pairs = pairs.join(texts.withColumnsRenamed({"_row": x, "_packed": f"packed_{x}", "_bytes": f"bytes_{x}"}), x)
-        return stored(pairs.mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
+        links = stored(pairs.mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
+        release(texts)
+        return links
 
     alike = (100 * F.col("size") >= percent * F.col("size2")) & (100 * F.col("size2") >= percent * F.col("size"))
 
-    def mixed_buckets(found: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-        """Members of the buckets with several components, and a member of each one's largest component."""
+    def mixed_buckets(members: DataFrame, found: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """Members of the buckets with several components, and a member of each one's largest component.
+
+        Components only grow, so a bucket with one component is done: the next turn looks at the members returned here.
+        """
         where = members.join(found, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("part"))
         where = stored(where, "placed-members")
         mixed = where.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select(F.col("bucket").alias("same"))
-        left = stored(where.join(stored(mixed, "mixed"), F.col("bucket") == F.col("same")).drop("same"), "mixed-members")
+        mixed = stored(mixed, "mixed")
+        left = stored(where.join(mixed, F.col("bucket") == F.col("same")).drop("same"), "mixed-members")
+        release(members, where, mixed)
         drawn = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), "node", "size")).alias("drawn")
         parts = left.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"), drawn)
         centre = parts.groupBy(F.col("bucket").alias("same")).agg(F.max(F.struct("n", "part", "drawn")).alias("c"))
@@ -222,40 +230,51 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         own = asked.join(blocks, "whole").select("whole", "node", asker, F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
         others = inside.join(blocks, "whole").select("whole", "node", block, F.explode(F.expr("sequence(0L, askers - 1)")).alias("asker"))
         own, others = (x.join(texts(), "node").groupBy(*group) for x in (own, others))
-        return stored(own.cogroup(others).applyInPandas(_links_in_block(percent), "a bigint, b bigint"), "block-links")
+        links = stored(own.cogroup(others).applyInPandas(_links_in_block(percent), "a bigint, b bigint"), "block-links")
+        release(blocks)
+        return links
 
     tested = stored(members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "first-pairs")
     links = verified(tested)
     for turn in range(STARS):
-        left, centre = mixed_buckets(components(links), turn)
+        found = components(links)
+        members, centre = mixed_buckets(members, found, turn)
         across = (F.col("bucket") == F.col("same")) & (F.col("part") != F.col("part2")) & alike
-        more = left.join(centre, across).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        more = members.join(centre, across).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         more = stored(more.join(tested, ["a", "b"], "left_anti"), "more-pairs")
+        release(found, centre)
         tested = tested.union(more)
         links = links.union(verified(more))
 
     # what is still outside the largest component of a bucket meets all of that component, and the others outside, in blocks
     found = components(links)
-    left, centre = mixed_buckets(found, STARS)
-    outside = left.join(centre, F.col("bucket") == F.col("same")).where("part != part2")
+    members, centre = mixed_buckets(members, found, STARS)
+    outside = members.join(centre, F.col("bucket") == F.col("same")).where("part != part2")
     outside = stored(outside.select("bucket", "node", "size", "part", "part2"), "outside")
     links = links.union(against_whole(outside.select("node", F.col("part2").alias("whole")).distinct(), found))
+    release(found, centre)
     found = components(links)
-    left, centre = mixed_buckets(found, STARS + 1)
-    still = left.join(centre, F.col("bucket") == F.col("same")).where("part != part2").select("bucket", "node", "size", "part")
+    members, centre = mixed_buckets(members, found, STARS + 1)
+    still = members.join(centre, F.col("bucket") == F.col("same")).where("part != part2").select("bucket", "node", "size", "part")
     right = outside.select("bucket", "node", "size").join(found, "node", "left").select(
         F.col("bucket").alias("bucket2"), F.col("node").alias("node2"), F.col("size").alias("size2"), F.coalesce("component", "node").alias("part2")
     )
     across = (F.col("bucket") == F.col("bucket2")) & (F.col("part") != F.col("part2")) & alike
-    more = stored(still, "still-outside").join(stored(right, "were-outside"), across)
+    still, right = stored(still, "still-outside"), stored(right, "were-outside")
+    release(found, centre, members, outside)
+    more = still.join(right, across)
     more = more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    links = links.union(verified(stored(more.join(tested, ["a", "b"], "left_anti"), "more-pairs")))
+    more = stored(more.join(tested, ["a", "b"], "left_anti"), "more-pairs")
+    links = links.union(verified(more))
+    release(tested, more, still, right)
     found = components(links)
+    release(links)
 
     first = F.min(F.struct("no", "id", "node")).alias("first")
     named = nodes.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
     classes = stored(named.groupBy("part").agg(first).select("part", "first"), "classes")
     named = stored(named.join(classes, "part").select(F.col("bag").alias("_same"), F.col("first.id").alias("_named"), F.col("first.node").alias("_first")), "names")
+    release(nodes, found, classes)
     out = signed.join(named, F.col("_bag") == F.col("_same"), "left")
     alone = F.col("_same").isNull()
     keeper = alone | (F.col("_row") == F.col("_first"))
