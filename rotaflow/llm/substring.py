@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaflow.llm.common import GOLD, Words, buffer_of, column, mix, pack_texts, sized_slices, slices, stored, unpack_texts, windows, words_of
+from rotaflow.llm.common import GOLD, Words, buffer_of, column, mix, pack_texts, release, sized_slices, slices, stored, unpack_texts, windows, words_of
 from rotaflow.llm.fm_index import FmIndex
 
 ANCHOR = 6  # words whose hashes anchor a segment
@@ -212,6 +212,7 @@ def repeats(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFrame, Da
     copied = stored(firsts.select(F.col("content").alias("same"), "first_id"), "contents")
     whole = scanned.drop("anchors").join(copied, F.col("content") == F.col("same"), "left").drop("same")
     whole = stored(whole.withColumn("first_id", F.coalesce("first_id", own)), "whole")
+    release(copied)
 
     # anchors that occur twice, in different texts or in one
     used = scanned.select(F.explode("anchors").alias("anchor"), "row")
@@ -220,10 +221,12 @@ def repeats(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFrame, Da
     flagged = used.join(often, F.col("anchor") == F.col("shared")).groupBy("row").agg(F.collect_set("anchor").alias("repeated"))
     flagged = whole.where(own == F.col("first_id")).select("row", F.col("content").alias("same"), "first_id").join(flagged, "row").drop("row")
     flagged = stored(flagged.dropDuplicates(["same"]), "flagged")
+    release(scanned, often)
     packed = keyed.select("doc", "content", "text").mapInArrow(_pack, "doc bigint, content binary, packed binary, bytes bigint")
     same = (F.col("content") == F.col("same")) & (F.col("doc") == F.col("first_id"))
     texts = packed.join(flagged, same).select("content", "first_id", "packed", "bytes", "repeated")
     texts = stored(texts, "flagged-texts")
+    release(flagged)
 
     # all but the earliest of equal segments repeat as a whole; segments are named by anchor and hash here
     fields = "content binary, first_id bigint, start bigint, anchor bigint, name bigint, size bigint, twice boolean"
@@ -240,10 +243,12 @@ def repeats(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFrame, Da
     sums = stored(sums.where("kinds > 1 OR twice").select(F.col("anchor").alias("sought"), "total"), "sought-anchors")
     wanted = different.join(sums, F.col("anchor") == F.col("sought")).select("first.content", "first.start", F.col("total") > HOT_WORDS)
     wanted = wanted.toDF("same", "start", "hot").groupBy("same").agg(F.collect_set(F.struct("start", "hot")).alias("wanted"))
-    sought = texts.drop("repeated").join(stored(wanted, "sought-segments"), F.col("content") == F.col("same")).drop("same")
+    wanted = stored(wanted, "sought-segments")
+    sought = texts.drop("repeated").join(wanted, F.col("content") == F.col("same")).drop("same")
     sought = sought.dropDuplicates(["content"])
     fields = "content binary, doc bigint, start bigint, anchor bigint, words string, hot boolean"
     sized = stored(sought.mapInArrow(_cut(window, named=False), fields), "sought-texts")
+    release(wanted)
     all_words = sums.agg(F.sum("total")).first()[0] or 0
     shards = max(1, -(-all_words // SHARD_WORDS))
     parts = F.expr(f"transform(sequence(0, size(split(words, ' ')) - {window}), i -> struct(i AS i, array_join(slice(split(words, ' '), CAST(i + 1 AS int), {window}), ' ') AS w))")
@@ -255,16 +260,18 @@ def repeats(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFrame, Da
     rest = sized.where("NOT hot").select("doc", "start", "content", "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
     inner = rest.groupBy("shard").applyInPandas(_shard_repeats(window), "content binary, start bigint, n bigint")
     every = later.unionByName(inner).unionByName(single)
-    spans = every.groupBy("content").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    spans = stored(every.groupBy("content").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "spans")
+    release(different, sums, sized, leads)
     return whole, spans, texts.select("content", "packed", "bytes")
 
 
 def deduplicate(docs: DataFrame, window: int = 20, with_text: bool = True) -> DataFrame:
     """doc_id, content, n_words, n_removed, kept_sha256 and, if asked for, kept_text (null: the text's words are all kept) of each row."""
     whole, spans, texts = repeats(docs, window)
-    texts = texts.dropDuplicates(["content"]).join(spans, "content")
-    cleaned = texts.mapInArrow(_remove(window), "content binary, n_removed bigint, kept_sha256 string, kept_text string")
+    repeated = texts.dropDuplicates(["content"]).join(spans, "content")
+    cleaned = repeated.mapInArrow(_remove(window), "content binary, n_removed bigint, kept_sha256 string, kept_text string")
     cleaned = stored(cleaned if with_text else cleaned.drop("kept_text"), "cleaned").withColumnRenamed("content", "same")
+    release(spans, texts)
     copy = (F.coalesce("doc_id", F.lit(FIRST)) != F.col("first_id")) & (F.col("n_words") >= window)
     out = whole.join(cleaned, F.col("content") == F.col("same"), "left")
     nothing = hashlib.sha256(b"").hexdigest()
@@ -286,6 +293,7 @@ def cleaned_documents(docs: DataFrame, window: int = 20) -> DataFrame:
     found = deduplicate(docs, window).where("n_removed > 0")
     changes = found.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.col("kept_text").alias("_kept")).distinct()
     changes = stored(changes, "changes")
+    release(found)
     content = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     out = docs.join(changes, (content == F.col("_content")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
     text = F.when(F.col("_content").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
