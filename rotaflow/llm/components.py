@@ -1,8 +1,8 @@
 """Connected components by randomised contraction.
 
-In a round every node joins the neighbour (or itself) with the smallest random number of that round; the expected number of
-nodes falls by a constant factor, whatever the shape of the graph, stars and chains included. Nothing but the count of the
-edges left reaches the driver. Joins on a node with very many edges are plain exchanges, which adaptive execution splits.
+In a round every node takes the smallest random number of that round within two steps of it, and edges are renamed by what their ends
+took. A star collapses in one round; otherwise the expected number of nodes falls by a constant factor, chains included. Nothing but the
+answer whether edges are left reaches the driver. Joins on a node with very many edges are plain exchanges, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         salt = F.lit(len(steps))
         both = edges.union(edges.select("b", "a"))
-        near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", salt).alias("h"), F.col("b").alias("to"))).alias("m"))
-        own = F.struct(F.xxhash64("a", salt).alias("h"), F.col("a").alias("to"))
-        step = stored(near.select(F.col("a").alias("node"), F.least("m", own)["to"].alias("to")), "hooks")
+        drawn = lambda node: F.struct(F.xxhash64(node, salt).alias("h"), F.col(node).alias("to"))  # noqa: E731, B023
+        near = both.groupBy("a").agg(F.min(drawn("b")).alias("m")).select(F.col("a").alias("b"), F.least("m", drawn("a")).alias("m"))
+        # a neighbour's minimum covers the node itself and, over all neighbours, everything two steps away
+        step = stored(both.join(near, "b").groupBy(F.col("a").alias("node")).agg(F.min("m")["to"].alias("to")), "hooks")
         steps.append(step)
         before = edges
         for side in ("a", "b"):
@@ -37,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.join(later, "to", "left").select("node", F.coalesce("last", "to").alias("to"))
     labels = stored(labels, "labels")
     release(edges, *steps)
-    names = stored(labels.groupBy("to").agg(F.min("node").alias("component")), "names")
+    names = labels.groupBy("to").agg(F.min("node").alias("component"))
     found = stored(labels.join(names, "to").select("node", "component"), "components")
-    release(labels, names)
+    release(labels)
     return found

@@ -31,7 +31,7 @@ from rotaflow.llm.components import components
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
-STARS = 3  # rounds that propose one centre per bucket before the rest is compared in blocks
+STARS = 2  # rounds that propose one centre per bucket before the rest is compared in blocks
 BLOCK = 500  # texts of a side that are compared in one task group
 
 
