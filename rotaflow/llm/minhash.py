@@ -9,9 +9,8 @@ Processes stop as soon as they are later than all registers of their document.
 
 Documents with equal bags collapse to one node. A band bucket proposes links of its members to one centre; what is verified
 is merged into components, and the other components try a member of the bucket's largest one, ``STARS`` times. What is still outside is
-compared with all texts of that component, in blocks whose tasks return links only. Documents outside after that are paired with the others
-that were outside (if their sizes allow the similarity); pairs inside a component need no test. So no link between different texts in a common
-bucket is lost.
+compared with all texts of that component, in blocks whose tasks return links only. Documents outside after that are compared with the others that were outside in their bucket, again in blocks whose tasks return
+only links that join components. So what a link between different texts in a common bucket connects is connected, and no pairs are made.
 A pair at the threshold shares none of ``BANDS`` bands of ``ROWS`` with a probability of 1.3e-7.
 
 Null texts count as empty; null ``doc_id`` may be in a class but names it only if all are null; repeated rows are copies of each other.
@@ -19,6 +18,8 @@ Null texts count as empty; null ``doc_id`` may be in a class but names it only i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,7 +33,8 @@ from rotaflow.llm.components import components
 SHINGLE = 5
 BANDS, ROWS = 40, 5
 STARS = 2  # rounds that propose one centre per bucket before the rest is compared in blocks
-BLOCK = 500  # texts of a side that are compared in one task group
+BLOCK = 500  # texts of a side that are compared in one task group, on average
+BLOCK_WORDS = 400_000  # words of a side that are compared in one task group, on average
 
 
 def bags(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,8 +139,8 @@ def _verify(percent: int):
     return run
 
 
-def first_links(own: pa.Array, others: pa.Array, percent: int) -> list[int]:
-    """For each text of ``own`` the first of ``others`` that is similar, or -1."""
+def _similar(own: pa.Array, others: pa.Array, percent: int) -> Iterator[np.ndarray]:
+    """For each text of ``own`` the places of all similar ones among ``others``."""
     doc, key, weight = bags(words_of(others))
     order = np.argsort(key, kind="stable")
     doc, key, weight = doc[order], key[order], weight[order]
@@ -146,14 +148,29 @@ def first_links(own: pa.Array, others: pa.Array, percent: int) -> list[int]:
     d, k, c = bags(words_of(own))
     edge = np.searchsorted(d, np.arange(len(own) + 1))
     low, high = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
-    out = []
     for s in range(len(own)):
         mine = slice(edge[s], edge[s + 1])
         n = high[mine] - low[mine]
         at = np.repeat(low[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         common = np.bincount(doc[at], np.minimum(weight[at], np.repeat(c[mine], n)), len(others))
-        near = np.flatnonzero((common > 0) & (100 * common >= percent * (size + c[mine].sum() - common)))
-        out.append(int(near[0]) if len(near) else -1)
+        yield np.flatnonzero((common > 0) & (100 * common >= percent * (size + c[mine].sum() - common)))
+
+
+def first_links(own: pa.Array, others: pa.Array, percent: int) -> list[int]:
+    """For each text of ``own`` the first of ``others`` that is similar, or -1."""
+    return [int(near[0]) if len(near) else -1 for near in _similar(own, others, percent)]
+
+
+def joining_links(own: pa.Array, others: pa.Array, own_part: np.ndarray, others_part: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of all links between ``own`` and ``others`` as many as join the components they join: fewer than there are components."""
+    part = np.unique(np.concatenate([own_part, others_part]), return_inverse=True)[1]
+    out = []
+    for s, near in enumerate(_similar(own, others, percent)):
+        other = part[len(own) + near]
+        for p, at in zip(*np.unique(other, return_index=True), strict=True):
+            if p != part[s]:
+                out.append((s, int(near[at])))
+        part[np.isin(part, other)] = part[s]
     return out
 
 
@@ -167,6 +184,16 @@ def _links_in_block(percent: int):
     return run
 
 
+def _joins_in_block(percent: int):
+    def run(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        texts = [unpack_texts(pa.array(x["packed"]), pa.array(x["bytes"])) for x in (own, others)]
+        parts = [x["part"].to_numpy() for x in (own, others)]
+        found = np.array(joining_links(*texts, *parts, percent) if len(own) and len(others) else [], np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": own["node"].to_numpy()[found[:, 0]], "b": others["node"].to_numpy()[found[:, 1]]})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Columns of ``docs`` but text, with _class (the smallest doc_id of the class), _keeper, and the packed text.
 
@@ -218,13 +245,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         columns = [F.col("c.part").alias("part2"), F.col("c.drawn.node").alias("node2"), F.col("c.drawn.size").alias("size2")]
         return left, stored(centre.select("same", *columns), "centres")
 
+    def n_blocks(df: DataFrame, group: str, name: str) -> DataFrame:
+        return df.groupBy(group).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_WORDS)).alias(name))
+
+    def texts() -> DataFrame:
+        return signed.select(F.col("_row").alias("node"), F.col("_packed").alias("packed"), F.col("_bytes").alias("bytes"))
+
+    def within_buckets(still: DataFrame, right: DataFrame) -> DataFrame:
+        """Links that join the components of ``still`` and ``right`` in each bucket; both have bucket, node, size and part."""
+        several = right.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("bucket")
+        blocks = n_blocks(still, "bucket", "askers").join(n_blocks(right, "bucket", "blocks").join(several, "bucket"), "bucket")
+        blocks = stored(blocks, "blocks")
+        group = ["bucket", "block", "asker"]
+        asker, block = F.pmod(F.xxhash64("node"), "askers").alias("asker"), F.pmod(F.xxhash64("node"), "blocks").alias("block")
+        own = still.join(blocks, "bucket").select("bucket", "node", "part", asker, F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
+        others = right.join(blocks, "bucket").select("bucket", "node", "part", block, F.explode(F.expr("sequence(0L, askers - 1)")).alias("asker"))
+        own, others = (x.join(texts(), "node").groupBy(*group) for x in (own, others))
+        links = stored(own.cogroup(others).applyInPandas(_joins_in_block(percent), "a bigint, b bigint"), "bucket-links")
+        release(blocks)
+        return links
+
     def against_whole(asked: DataFrame, found: DataFrame) -> DataFrame:
         """A link, if there is one, between each node asked for and each block of the component ``whole``."""
-        count = lambda df, name: df.groupBy("whole").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
         inside = found.select("node", F.col("component").alias("whole"))
-        blocks = count(asked, "askers").join(count(inside, "blocks"), "whole")
-        blocks = stored(blocks, "blocks")
-        texts = lambda: signed.select(F.col("_row").alias("node"), F.col("_packed").alias("packed"), F.col("_bytes").alias("bytes"))
+        sized = inside.join(nodes.select("node", "size"), "node")
+        blocks = stored(n_blocks(asked, "whole", "askers").join(n_blocks(sized, "whole", "blocks"), "whole"), "blocks")
         group = ["whole", "block", "asker"]
         asker, block = F.pmod(F.xxhash64("node"), "askers").alias("asker"), F.pmod(F.xxhash64("node"), "blocks").alias("block")
         own = asked.join(blocks, "whole").select("whole", "node", asker, F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
@@ -251,22 +296,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     members, centre = mixed_buckets(members, found, STARS)
     outside = members.join(centre, F.col("bucket") == F.col("same")).where("part != part2")
     outside = stored(outside.select("bucket", "node", "size", "part", "part2"), "outside")
-    links = links.union(against_whole(outside.select("node", F.col("part2").alias("whole")).distinct(), found))
+    links = links.union(against_whole(outside.select("node", "size", F.col("part2").alias("whole")).distinct(), found))
     release(found, centre)
     found = components(links)
     members, centre = mixed_buckets(members, found, STARS + 1)
     still = members.join(centre, F.col("bucket") == F.col("same")).where("part != part2").select("bucket", "node", "size", "part")
-    right = outside.select("bucket", "node", "size").join(found, "node", "left").select(
-        F.col("bucket").alias("bucket2"), F.col("node").alias("node2"), F.col("size").alias("size2"), F.coalesce("component", "node").alias("part2")
-    )
-    across = (F.col("bucket") == F.col("bucket2")) & (F.col("part") != F.col("part2")) & alike
+    right = outside.select("bucket", "node", "size").join(found, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("part"))
     still, right = stored(still, "still-outside"), stored(right, "were-outside")
     release(found, centre, members, outside)
-    more = still.join(right, across)
-    more = more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    more = stored(more.join(tested, ["a", "b"], "left_anti"), "more-pairs")
-    links = links.union(verified(more))
-    release(tested, more, still, right)
+    links = links.union(within_buckets(still, right))
+    release(tested, still, right)
     found = components(links)
     release(links)
 

@@ -271,6 +271,23 @@ def test_first_links_and_components(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_joining_links_connect_what_all_links_connect():
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[k : k + 40]) for k in (0, 0, 1, 2, 3, 20, 20, 4)] + ["", "alone"]
+    n = len(texts)
+    every = [(i, int(j)) for i, near in enumerate(minhash._similar(pa.array(texts), pa.array(texts), 80)) for j in near]
+    few = minhash.joining_links(pa.array(texts), pa.array(texts), np.arange(n), np.arange(n), 80)
+
+    def classes(links):
+        part = list(range(n))
+        for a, b in links:
+            part = [part[a] if p == part[b] else p for p in part]
+        return [[p == q for q in part] for p in part]
+
+    assert classes(few) == classes(every) and len(few) < n
+    assert minhash.joining_links(pa.array(texts), pa.array(texts), np.zeros(n, int), np.zeros(n, int), 80) == []
+
+
 def test_fm_index_matching_statistics():
     rng = random.Random(4)
     base = [" ".join(rng.choice("abc") for _ in range(rng.randint(4, 40))) for _ in range(12)]
