@@ -3,8 +3,9 @@
 Index: centroids come from hierarchical balanced splits of a bounded sample; every vector is indexed. A vector goes to its
 nearest list and, if it lies near a boundary, to the others whose centroid is at most ``COPY_RATIO`` times as far (``COPIES`` at
 most). Centroids are searched by a graph of nearest centroids held in memory (at most ``MAX_LISTS`` of them). A query
-visits the lists whose centroid is at most ``PROBE_RATIO`` times as far as the nearest (``PROBES`` at most). Long lists and many queries of
-a list are cut into blocks, a task group each, so no list is held whole.
+visits the lists whose centroid is at most ``PROBE_RATIO`` times as far as the nearest, up to ``PROBES`` or a ``PROBE_SHARE`` of all lists,
+whichever is more: so recall does not fall as lists are added. Long lists and many queries of a list are cut into blocks, a task group each, so
+no list is held whole.
 
 Equal vectors are one point that carries its ``k + 1`` smallest ids: by nearness and then id no other can be among
 the nearest of a query. Distances are exact, in double precision, on the original vectors.
@@ -15,6 +16,7 @@ length than the most common one. Rows that share the query's ``vec_id`` count as
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +32,7 @@ MAX_LISTS = 4_096
 LIST_ROWS = 200  # points a list should have, as long as MAX_LISTS allows
 DEGREE, WIDTH = 24, 96  # edges of a centroid in the graph; candidates its search keeps
 COPIES, COPY_RATIO = 4, 1.1
-PROBES, PROBE_RATIO = 64, 1.6
+PROBES, PROBE_SHARE, PROBE_RATIO = 64, 1 / 3, 1.6
 BLOCK_POINTS, BLOCK_QUERIES = 10_000, 2_000
 
 
@@ -71,8 +73,13 @@ class CentroidGraph:
         """Ids and squared distances of about the ``k`` nearest centroids of each row, nearest first.
 
         Best-first: each step expands the nearest centroid that is not expanded yet, until it is farther than the ``WIDTH`` nearest seen.
+        More than ``WIDTH`` are found by comparing with all centroids.
         """
         n, c = len(x), len(self.centroids)
+        if k > WIDTH:
+            squares = _squares(x, self.centroids)
+            order = np.argsort(squares, axis=1, kind="stable")[:, :k]
+            return order, np.take_along_axis(squares, order, axis=1)
         width, k = min(WIDTH, c), min(k, c)
         seen = np.full((n, c), np.inf)
         todo = np.full((n, c), np.inf)
@@ -102,6 +109,11 @@ def _matrix(values: pa.Array) -> np.ndarray:
     return np.asarray(values.flatten()).astype(float).reshape(len(values), -1) if len(values) else np.zeros((0, 1))
 
 
+def probes_of(lists: int) -> int:
+    """Lists a query visits at most, of ``lists`` in all."""
+    return min(lists, max(PROBES, math.ceil(PROBE_SHARE * lists)))
+
+
 def _lists(graph, copies: int, ratio: float, least: int):
     """Adds the posting lists of each vector: those within ``ratio`` of the nearest distance, ``least`` at any rate."""
     def run(batches):
@@ -177,8 +189,9 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     placed = stored(placed.withColumn("list", F.explode("lists")).drop("lists"), "postings")
     asked = rows.where(is_query).select(F.col("vector").alias("asked")).distinct()
     asked = points.join(asked, F.col("vector") == F.col("asked")).select("row", "point", "ids", "vector")
-    probes = asked.mapInArrow(_lists(graph, PROBES, PROBE_RATIO, 8), kinds)
-    probes = stored(probes.select(F.col("row").alias("point"), "vector", F.explode("lists").alias("list")), "probes")
+    probes = asked.mapInArrow(_lists(graph, probes_of(lists), PROBE_RATIO, 8), kinds)
+    probes = stored(probes.select(F.col("row").alias("point"), "vector", "lists"), "probes")  # a query's vector once, not once a list
+    probes = probes.select("point", "vector", F.explode("lists").alias("list"))
 
     # at most MAX_LISTS rows
     sizes = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_POINTS).alias("blocks"))

@@ -227,6 +227,22 @@ def test_neighbours(spark):
     assert ann.neighbours(table.where("vec_id > 999"), F.col("vec_id") % 10 == 0, 5).count() <= 1
 
 
+def test_probes_keep_recall_as_lists_are_added(spark, monkeypatch):
+    """With 1,000 lists, a part of which is visited; 64 of them, a fixed number, find 0.8."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ann, "LIST_ROWS", 10)
+    x = np.random.default_rng(6).normal(size=(10_000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype("float32").astype(float)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>").repartition(8)
+    found, hits = ann.neighbours(table, F.col("vec_id") % 100 == 0, 10).collect(), 0
+    for q in range(0, 10_000, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & {r["vec_id"] for r in found if r["query_id"] == q})
+    assert ann.probes_of(1_000) < 500 and hits >= 0.97 * 1_000
+
+
 def similarity(x, y):
     a, b = (Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter() for w in (x, y))
     union = sum((a | b).values())
