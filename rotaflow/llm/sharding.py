@@ -1,8 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows of the shards are balanced together.
 
-Equal texts form a group that stays in one shard, unless it alone is more than ``1 / PARTS`` of a shard in
-bytes, tokens or rows; then its rows are dealt to as many parts as needed. There are at most
-3 x shards x ``PARTS`` such groups, whatever the input, so their table is broadcast.
+Equal texts form a group that stays in one shard, unless it alone is more than an equal share of the bytes, tokens
+or rows; then its rows are dealt in turn to as few parts as fit such a share (a single row always does). There are
+at most 3 x shards such groups, whatever the input, so their table is broadcast.
 
 Groups are placed by decreasing size where the dot product of their vector and the residual capacity is
 highest. That is done in packs of at most ``PACK`` groups by tasks; every pack fills its own ``shards`` bins
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from rotaflow.llm.common import ranked, stored
 
-PARTS = 64  # a group larger than this part of a shard is split
 PACK = 20_000  # groups placed one after another in one task
 MEASURES = ["size", "tokens", "rows"]
 
@@ -77,13 +76,15 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     )
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")]
     total = rows.agg(*sums).first()
-    most = {m: max(1.0, (total[m] or 0) / (shards * PARTS)) for m in MEASURES}
-    parts = F.least(F.greatest(*[F.ceil(F.col(m) / most[m]) for m in MEASURES]), F.col("rows"))
+    # rows of a group that fit a shard: equal texts are equally large
+    fit = F.least(*[F.when(F.col(m) > 0, F.floor(F.lit(float(total[m] or 0)) * F.col("rows") / (F.col(m) * shards))) for m in MEASURES])
     groups = rows.groupBy("content").agg(*sums)
-    large = groups.select(F.col("content").alias("of"), parts.alias("parts")).where("parts > 1")
+    large = groups.select(F.col("content").alias("of"), F.ceil(F.col("rows") / F.greatest(fit, F.lit(1))).alias("parts")).where("parts > 1")
+    large = F.broadcast(stored(large, "large-groups"))
     same = F.col("content").eqNullSafe(F.col("of"))
-    part = F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)).alias("part")
-    rows = rows.join(F.broadcast(large), same, "left").select(*rows.columns, part)
+    whole = rows.join(large, same, "left_anti").withColumn("part", F.lit(0).cast("long"))
+    split = ranked(rows.join(large, same), "content", ["row"], F.xxhash64("row"), "rank")
+    rows = whole.unionByName(split.select(*rows.columns, F.pmod("rank", "parts").alias("part")))
     keys = ["content", "part"]
     rows = rows.withColumn("content", F.coalesce("content", F.lit(b"")))
     placed = _pack(rows.groupBy(*keys).agg(*sums), keys, shards).select(*keys, "shard")

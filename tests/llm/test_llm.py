@@ -106,6 +106,20 @@ def test_sharding_keeps_rows_groups_and_balance(docs, empty):
     assert max(load) - min(load) <= 0.1 * sum(load)
 
 
+def test_sharding_keeps_copies_that_fit_together(spark):
+    """40 pairs, a group of 12 and one of 50 in 200 rows: 4 shards hold 50 rows each."""
+    texts = [f"pair {i // 2:03d}" for i in range(80)] + ["twelve ."] * 12 + ["fifty  ."] * 50 + [f"lone {i:03d}" for i in range(58)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    for shards, parts in ((4, 1), (8, 2)):  # 8 shards hold 25 rows each
+        at: dict[str, Counter] = {}
+        for r in sharding.shard(table, shards).collect():
+            at.setdefault(texts[r["doc_id"]], Counter())[r["shard"]] += 1
+        assert all(len(s) == 1 for t, s in at.items() if t != "fifty  .")
+        assert sorted(at["fifty  ."].values()) == [50 // parts] * parts
+        load = sum(at.values(), Counter())
+        assert sum(load.values()) == 200 and max(load.values()) - min(load.values()) <= 4
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
