@@ -267,8 +267,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     def against_whole(asked: DataFrame, found: DataFrame) -> DataFrame:
         """A link, if there is one, between each node asked for and each block of the component ``whole``."""
-        inside = found.select("node", F.col("component").alias("whole"))
-        sized = inside.join(nodes.select("node", "size"), "node")
+        sized = nodes.select("node", "size").join(found, "node", "left")  # a node without links is a component of its own
+        sized = sized.select("node", "size", F.coalesce("component", "node").alias("whole"))
+        inside = sized.select("node", "whole")
         blocks = stored(n_blocks(asked, "whole", "askers").join(n_blocks(sized, "whole", "blocks"), "whole"), "blocks")
         group = ["whole", "block", "asker"]
         asker, block = F.pmod(F.xxhash64("node"), "askers").alias("asker"), F.pmod(F.xxhash64("node"), "blocks").alias("block")

@@ -284,6 +284,21 @@ def test_near_duplicates(docs, empty):
     assert sum(r["_keeper"] for r in rows) == len({root(i) for i in range(len(given))})
 
 
+def test_a_single_node_is_met_as_a_component(spark, monkeypatch):
+    """The last two texts are alike (0.8), the others not (0.79 at most) though they share their buckets, where the last node is the one chosen."""
+    monkeypatch.setattr(minhash, "STARS", 0)
+    spots, rows = iter(range(7, 899, 5)), []  # each edit changes 5 shingles of its own
+    for k, edits in enumerate([11] * 14 + [10] * 2):
+        text = [f"w{i}" for i in range(904)]
+        for _ in range(edits):
+            text[next(spots)] = f"edit{k}"
+        rows.append(text)
+    assert [(i, j) for i in range(16) for j in range(i) if similarity(rows[i], rows[j]) >= 0.8] == [(15, 14)]
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["_class"] for r in minhash.near_duplicates(table).collect()}
+    assert found == {i: min(i, 14) for i in range(16)}
+
+
 def test_signatures_estimate_weighted_jaccard():
     key = np.arange(1, 201, dtype=np.uint64)
     a, b = np.random.default_rng(1).integers(1, 30, 200), np.random.default_rng(2).integers(1, 30, 200)
