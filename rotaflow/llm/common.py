@@ -25,12 +25,6 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit numbers (a bijection)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -38,29 +32,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
-_tables: list[np.ndarray] = []
-
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span; at most ``HASH_BYTES`` (or one span) are expanded at once.
 
-def _tables_for(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _tables or len(_tables[0]) < n:
-        _tables[:] = [_powers(GOLD, n), _powers(np.uint64(pow(int(GOLD), -1, 1 << 64)), n)]
-    return _tables[0], _tables[1]
+    A span is cut into chunks of 8 bytes. Each chunk is mixed with a key of its place in the span, and the mixed chunks are summed: nothing
+    is linear in places or bytes, so structured texts do not collide, and spans of up to 8 bytes of one length never do.
+    """
+    out = np.zeros(len(start), np.uint64)
+    if not len(start):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    length = end - start
+    chunks = (length + 7) >> 3
+    ends = np.cumsum(chunks)
+    at = 0
+    while at < len(start):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + HASH_BYTES // 8, "right")))
+        n = chunks[at:stop]
+        place = np.arange(int(ends[stop - 1]) - before) - np.repeat(ends[at:stop] - n - before, n)
+        left = np.repeat(length[at:stop], n) - 8 * place
+        chunk = eight[np.repeat(start[at:stop], n) + 8 * place]
+        cut = left < 8
+        chunk[cut] &= (np.uint64(1) << (8 * left[cut]).astype(np.uint64)) - np.uint64(1)
+        mixed = mix(chunk ^ mix((place + 1).astype(np.uint64) * GOLD))
+        sums = np.zeros(len(mixed) + 1, np.uint64)
+        np.cumsum(mixed, out=sums[1:])
+        edge = ends[at:stop] - before
+        out[at:stop] = mix(sums[edge] - sums[edge - n] + length[at:stop].astype(np.uint64) * GOLD)
+        at = stop
+    return out
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each ascending, non-overlapping byte span; long buffers go in blocks."""
-    out = np.zeros(len(start), np.uint64)
+def same_spans(data: np.ndarray, start: np.ndarray, length: np.ndarray, other: np.ndarray, other_start: np.ndarray) -> np.ndarray:
+    """Which spans of ``data`` equal, byte by byte, the spans of ``other`` that have the same ``length`` and start at ``other_start``."""
+    out = np.ones(len(start), bool)
+    ends = np.cumsum(length)
     at = 0
     while at < len(start):
-        stop = max(at + 1, int(np.searchsorted(end, start[at] + HASH_BYTES, "right")))
-        low, high = int(start[at]), int(end[stop - 1])
-        power, inverse = _tables_for(high - low + 1)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_BYTE[data[low:high]] * power[: high - low], out=sums[1:])
-        s, e = start[at:stop] - low, end[at:stop] - low
-        out[at:stop] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + HASH_BYTES, "right")))
+        n = length[at:stop]
+        within = np.arange(int(ends[stop - 1]) - before) - np.repeat(ends[at:stop] - n - before, n)
+        differ = data[np.repeat(start[at:stop], n) + within] != other[np.repeat(other_start[at:stop], n) + within]
+        out[at + np.repeat(np.arange(stop - at), n)[differ]] = False
         at = stop
     return out
 
