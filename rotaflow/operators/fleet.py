@@ -61,11 +61,11 @@ def one_baseline(baselines: DataFrame) -> DataFrame:
 def fleet_limits(
     baselines: DataFrame, tolerances: DataFrame, category_override: str | None = None
 ) -> DataFrame:
-    """Registry with the limits of each machine's category; ``baselines`` has one row per machine (see ``one_baseline``).
+    """Registry with the limits of each machine's category, one row per machine whatever ``baselines`` repeats.
 
     The tolerance table is a handful of categories, so it is always broadcast.
     """
-    registry = machine_registry(baselines, category_override)
+    registry = machine_registry(one_baseline(baselines), category_override)
     return registry.join(F.broadcast(wide_tolerances(tolerances)), "category", "left")
 
 

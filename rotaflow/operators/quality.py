@@ -132,7 +132,7 @@ def validate(
 
 
 def baseline_violations(baselines: DataFrame) -> DataFrame:
-    """Baselines that break a rule, one row per machine and rule."""
+    """Baselines that break a rule, one row per baseline and rule; a machine with several baselines has one more row."""
     positive = ("horsepower", "baseline_flow", "baseline_head", "baseline_power")
     entries = [F.when(F.col(c) <= 0, F.lit(f"{c} must be positive")) for c in positive]
     entries.append(
@@ -147,8 +147,12 @@ def baseline_violations(baselines: DataFrame) -> DataFrame:
             F.lit("unknown application"),
         )
     )
+    entries.append(F.when(F.col("well_id").isNull(), F.lit("well_id is missing")))
     failed = F.filter(F.array(*entries), lambda e: e.isNotNull())
-    return baselines.select("well_id", F.explode(failed).alias("violation"))
+    found = baselines.select("well_id", F.explode(failed).alias("violation"))
+    counted = baselines.where("well_id IS NOT NULL").groupBy("well_id").agg(F.count("*").alias("n"))
+    several = counted.where("n > 1").select("well_id", F.lit("several baselines for one machine").alias("violation"))
+    return found.unionByName(several)
 
 
 def payload_violations(payloads: DataFrame) -> DataFrame:

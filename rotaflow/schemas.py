@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-from rotaflow.fixed_values import BASELINE_COLUMNS, FEATURE_WINDOWS, PARAMETERS, TELEMETRY_COLUMNS
+from rotaflow.fixed_values import (
+    BASELINE_COLUMNS,
+    CURVE_TEST_COLUMNS,
+    FEATURE_WINDOWS,
+    PARAMETERS,
+    TELEMETRY_COLUMNS,
+)
 
 _BASELINE_TEXT = {"Well ID", "pump_type", "application"}
 
@@ -40,6 +46,11 @@ VENDOR_FILE = T.StructType(
     ]
 )
 
+CURVE_TEST_FILE = T.StructType(
+    [T.StructField("Site", T.StringType())]
+    + [T.StructField(name, T.DoubleType()) for name in CURVE_TEST_COLUMNS]
+)
+
 _TEXT_TO_DOUBLE = T.MapType(T.StringType(), T.DoubleType())
 
 ANOMALY_CONTEXT = T.StructType(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from rotaflow import fixed_values as V
 from rotaflow import schemas
 from rotaflow.functions import rules
-from rotaflow.operators.fleet import machine_registry
+from rotaflow.operators.fleet import machine_registry, one_baseline
+from rotaflow.sources.headers import scan_by_name
 
 # --- fixed values: layouts of timestamps in files ----------------------------
 TIMESTAMP_LAYOUTS = (
@@ -33,30 +34,26 @@ def parse_timestamp(text: Column) -> Column:
     return F.coalesce(*tries)
 
 
-def _scan(spark: SparkSession, path, fmt: str, schema, header: Sequence[str]) -> DataFrame:
-    """CSV by header name in any column order, or Parquet; missing names raise."""
+def _scan(spark: SparkSession, path, fmt: str, schema, others: bool = False) -> DataFrame:
+    """CSV by header name in any column order, also if it differs from file to file, or Parquet; missing names raise."""
     if fmt == "csv":
-        # only the first line is read here; types come from the pinned schema
-        names = spark.read.option("header", True).csv(path).columns
-        missing = [c for c in header if c not in names]
-        if missing:
-            raise ValueError(f"Missing required columns: {missing}; available: {names}")
-        by_name = {f.name: f for f in schema.fields}
-        full = type(schema)([by_name.get(n) or schemas.T.StructField(n, schemas.T.StringType())
-                             for n in names])
-        return spark.read.option("header", True).schema(full).csv(path)
+        return scan_by_name(spark, path, schema, others=others)
     df = spark.read.format(fmt).load(path)
-    missing = [c for c in header if c not in df.columns]
+    missing = [c for c in schema.fieldNames() if c not in df.columns]
     if missing:
         raise ValueError(f"Missing required columns: {missing}; available: {df.columns}")
     return df
 
 
 def read_baseline(spark: SparkSession, path, fmt: str = "csv") -> DataFrame:
-    """Baselines, one row per machine; every row is kept."""
-    names = V.BASELINE_COLUMNS
-    raw = _scan(spark, path, fmt, schemas.BASELINE_FILE, list(names))
-    return raw.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()])
+    """Baselines, one row per machine: of repeated ones the smallest; ``baseline_violations`` finds them in ``raw_baseline``."""
+    return one_baseline(raw_baseline(spark, path, fmt))
+
+
+def raw_baseline(spark: SparkSession, path, fmt: str = "csv") -> DataFrame:
+    """Baselines as they stand in the files, repeated machines included."""
+    raw = _scan(spark, path, fmt, schemas.BASELINE_FILE)
+    return raw.select(*[F.col(f"`{old}`").alias(new) for old, new in V.BASELINE_COLUMNS.items()])
 
 
 def to_telemetry(raw: DataFrame) -> DataFrame:
@@ -78,7 +75,7 @@ def read_telemetry(
     spark: SparkSession, path, well_ids: Sequence[str] | None = None, fmt: str = "csv"
 ) -> DataFrame:
     """Telemetry of all machines, or of the given ones (pushed into the scan)."""
-    raw = _scan(spark, path, fmt, schemas.TELEMETRY_FILE, list(V.TELEMETRY_COLUMNS))
+    raw = _scan(spark, path, fmt, schemas.TELEMETRY_FILE)
     if well_ids is not None:
         raw = raw.where(F.col("`Well ID`").isin(*well_ids))
     return to_telemetry(raw)
@@ -103,23 +100,28 @@ def read_latest_feed(spark: SparkSession, path) -> DataFrame:
 def stream_telemetry(
     spark: SparkSession, path, fmt: str = "csv", files_per_batch: int = 64
 ) -> DataFrame:
-    """Telemetry as an unbounded table; new files are picked up as they arrive."""
+    """Telemetry as an unbounded table; new files are picked up as they arrive.
+
+    Files of a stream are read as they come, so CSV columns must stand in the order of the contract; others raise.
+    """
     reader = (
         spark.readStream.schema(schemas.TELEMETRY_FILE)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("maxFilesPerTrigger", files_per_batch)
     )
     return to_telemetry(reader.format(fmt).load(path))
 
 
 def read_vendor_log(spark: SparkSession, path, fmt: str = "csv") -> DataFrame:
-    """Vendor log with parsed clocks."""
-    raw = _scan(spark, path, fmt, schemas.VENDOR_FILE, schemas.VENDOR_FILE.fieldNames())
+    """Vendor log with parsed clocks; NaN counts as missing."""
+    raw = _scan(spark, path, fmt, schemas.VENDOR_FILE, others=True)
     return raw.withColumns(
         {
             "PumpLogDate": parse_timestamp(F.col("PumpLogDate")),
             "FailTs": parse_timestamp(F.col("FailTs")),
         }
+        | {c: rules.clean(F.col(c)) for c, kind in raw.dtypes if kind == "double"}
     )
 
 
@@ -130,14 +132,8 @@ def clean_header(name: str) -> str:
 
 def read_curve_test(spark: SparkSession, path) -> DataFrame:
     """Curve-test log; headers are cleaned, four columns renamed and typed."""
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
-    names = [V.CURVE_TEST_COLUMNS.get(clean_header(c), clean_header(c)) for c in raw.columns]
-    numeric = set(V.CURVE_TEST_COLUMNS.values())
-    return raw.toDF(*names).select(
-        F.col("Site").alias("site"),
-        *[F.col(f"`{n}`").cast("double").alias(n) if n in numeric else F.col(f"`{n}`")
-          for n in names if n != "Site"],
-    )
+    raw = scan_by_name(spark, path, schemas.CURVE_TEST_FILE, clean_header, others=True, escape='"')
+    return raw.withColumnsRenamed({"Site": "site"} | V.CURVE_TEST_COLUMNS)
 
 
 def load_tolerances(spark: SparkSession, path, category: str | None = None) -> DataFrame:

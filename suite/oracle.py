@@ -679,7 +679,9 @@ oracle(
     """SELECT well_id, 'horsepower must be positive' AS violation FROM registry
         WHERE horsepower < 20
     UNION ALL SELECT well_id, 'baseline_efficiency must be between 0 and 100' FROM registry
-        WHERE category = '1E'""",
+        WHERE category = '1E'
+    UNION ALL SELECT well_id, 'several baselines for one machine' FROM registry
+        WHERE length(well_id) = 6 AND horsepower >= 20 AND category <> '1E'""",
     "registry",
 )
 oracle(

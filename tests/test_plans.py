@@ -11,6 +11,7 @@ from rotaflow.operators import status
 from rotaflow.operators.debounce import debounce
 from rotaflow.plans.medians import medians
 from rotaflow.plans.timeline import Timeline
+from rotaflow.session import cut_lineage
 from rotaflow.sources.writers import save_bucketed
 from rotaflow.streaming import live
 from suite.queries import Given
@@ -56,7 +57,8 @@ def test_slices_are_bounded_and_whole(spark):
 
 def test_classification_exchanges_readings_once(spark, folder, capsys):
     given = Given(spark, folder)
-    status.analyse(given.telemetry, given.fleet, given.timeline).select(
+    machines = cut_lineage(given.fleet)  # the machine dimension has an exchange of its own
+    status.analyse(given.telemetry, machines, given.timeline).select(
         "well_id", "ts", "status"
     ).explain()
     plan = capsys.readouterr().out
@@ -68,7 +70,8 @@ def test_features_exchange_readings_once(spark, folder, capsys):
     from rotaflow.operators.features import engineer_features
 
     given = Given(spark, folder)
-    engineer_features(given.deviations, given.timeline).explain()
+    machines = cut_lineage(given.fleet)
+    engineer_features(status.deviation_pct(given.telemetry, machines), given.timeline).explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange hashpartitioning(well_id") == 1
     assert plan.count("+- Sort [") == 1

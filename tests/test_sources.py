@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rotaflow import fixed_values as V
-from rotaflow.operators import anomaly_log, fleet, quality
-from rotaflow.sources import readers, writers
+from rotaflow.operators import anomaly_log, convert, debounce, fleet, quality
+from rotaflow.plans.timeline import Timeline
+from rotaflow.sources import headers, readers, writers
 
 HEADER = ",".join(V.TELEMETRY_COLUMNS)
 
@@ -146,3 +147,80 @@ def test_filters_reach_the_scan(spark, folder, capsys):
     plan = capsys.readouterr().out
     assert "EqualTo(user_id,3)" in plan and "GreaterThanOrEqual(ts," in plan
     assert "props" not in plan
+
+# -- files whose columns differ in order ----------------------------------------------
+
+
+def _telemetry_files(folder, layouts):
+    values = {"timestamp": "5/1/2024 {h}:00", "Well ID": "Well {w}", "Flow (gpm)": "{w}05.5", "Discharge Pressure (psi)": "1{h}.25"}
+    for w, names in enumerate(layouts):
+        cells = [values.get(n, "7").format(w=w, h="{h}") for n in names]
+        lines = [",".join(names)] + [",".join(cells).format(h=h) for h in range(3)]
+        (folder / f"log {w} [a].csv").write_text("\n".join(lines) + "\n")
+
+
+def test_columns_are_read_by_name_in_every_file(spark, tmp_path):
+    names = list(V.TELEMETRY_COLUMNS)
+    swapped = [names[0], names[1], names[3], names[2], *names[4:]]
+    _telemetry_files(tmp_path, [names, swapped, ["note", *reversed(names)], names])
+    (tmp_path / "empty.csv").write_text("")
+    rows = readers.read_telemetry(spark, str(tmp_path)).collect()
+    assert len(rows) == 12
+    for r in rows:
+        w = int(r["well_id"].split()[1])
+        assert (r["flow"], r["head"]) == (float(f"{w}05.5"), float(f"1{r['ts'].hour}.25"))
+        assert (r["suction"], r["speed"]) == (7.0, 7.0)
+
+
+def test_a_file_without_a_column_is_named(spark, tmp_path):
+    names = list(V.TELEMETRY_COLUMNS)
+    _telemetry_files(tmp_path, [names, [n for n in names if "Flow" not in n], names])
+    with pytest.raises(ValueError, match=r"1 of 3 files: .*log%201.*Flow"):
+        readers.read_telemetry(spark, str(tmp_path))
+
+
+def test_the_header_index_is_one_job_that_stops_after_a_line(spark, tmp_path):
+    names = list(V.TELEMETRY_COLUMNS)
+    _telemetry_files(tmp_path, [names] * 60)
+    context = spark.sparkContext
+    context.setJobGroup("headers", "header index")
+    found = headers.layouts(spark, str(tmp_path), names)
+    context.setJobGroup("", "")
+    assert found == [headers.Layout(tuple(names), ())]
+    assert len(context.statusTracker().getJobIdsForGroup("headers")) <= 2  # the listing of many files, and the index
+    assert readers.read_telemetry(spark, str(tmp_path)).count() == 180
+
+
+def test_other_columns_stay(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Site,x`y,4 Line Current Flow (gal/min),4 Line FT Head (ft),4 Line Pressure (psi),Power Monitor A Current Average (A)\nA,1,2,3,4,5\n")
+    (tmp_path / "b.csv").write_text("4 Line FT Head (ft),4 Line Current Flow (gal/min),Site,4 Line Pressure (psi),Power Monitor A Current Average (A)\n3,2,B,4,5\n")
+    rows = {r["site"]: r for r in readers.read_curve_test(spark, str(tmp_path)).collect()}
+    assert {(r["flow_gpm"], r["head_ft"], r["pressure_psi"], r["current_a"]) for r in rows.values()} == {(2.0, 3.0, 4.0, 5.0)}
+    assert (rows["A"]["x`y"], rows["B"]["x`y"]) == ("1", None)
+
+
+def test_baselines_are_one_per_machine(spark, tmp_path):
+    header = ",".join(V.BASELINE_COLUMNS)
+    (tmp_path / "b.csv").write_text(f"{header}\nWell 1,T,100,API,500,150,75,85\nWell 1,T,90,API,510,150,75,85\nWell 2,T,100,API,500,150,75,85\n")
+    assert readers.read_baseline(spark, str(tmp_path)).count() == 2
+    raw = readers.raw_baseline(spark, str(tmp_path))
+    assert raw.count() == 3 and fleet.fleet_limits(raw, fleet.default_tolerances(spark)).count() == 2
+    assert [tuple(r) for r in quality.baseline_violations(raw).collect()] == [("Well 1", "several baselines for one machine")]
+
+
+def test_nan_in_a_vendor_log_is_missing(spark, tmp_path):
+    (tmp_path / "v.csv").write_text(
+        "SitePumpID,PumpLogDate,OutputCurrent,Pressure,VibrationLevel,Frequency,Running,PumpDepth,PumpID,FailTs\n"
+        "1,2024-01-01 00:00:00,10,100,NaN,50,true,300,1,2024-02-15 00:00:00\n1,2024-01-01 01:00:00,12,100,0.5,50,true,300,1,2024-02-15 00:00:00\n"
+    )
+    log = readers.read_vendor_log(spark, str(tmp_path))
+    stats = convert.vendor_statistics(log).first()
+    assert stats["max_vibration"] == 0.5
+
+
+def test_decisions_keep_repeated_readings(spark):
+    rows = [("Well 1", datetime(2024, 5, 1, 0), 7, 1, "Warning", "a")] * 3 + [("Well 1", datetime(2024, 5, 1, 1), 8, 0, "Normal", "b")] * 2
+    scored = spark.createDataFrame(rows, "well_id string, ts timestamp_ntz, reading_id int, mask int, status string, more string")
+    made = debounce.with_decisions(scored, Timeline.of(scored), 60).collect()
+    assert sorted((r["more"], r["blocked_by"]) for r in made if r["blocked_by"]) == [("a", "flow")] * 2
+    assert len(made) == 5
