@@ -158,6 +158,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def quoted(name: str):
+    """A column by its name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def tokenizer(name: str) -> str:
     """Path of an installed public vocabulary file."""
     import public_tokenizers

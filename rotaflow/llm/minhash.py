@@ -1,16 +1,19 @@
 """Near-duplicates by BagMinHash: signatures for weighted Jaccard similarity, bands, and exact verification.
 
 A document is the bag of its runs of ``SHINGLE`` words with their counts (a shorter text is one shingle; a text without words has
-none and is alike only to itself). The weight axis of a shingle is discretised in unit steps and grouped in octaves
-[0, 1), [1, 2), [2, 4), [4, 8) ...; each octave is a Poisson process whose points carry a time, a register and a place on the axis. The place
-decides bit by bit which half, quarter and so on of the octave holds the point; points at or above the weight are not of this document.
-A register keeps its earliest point, so two documents agree in it with probability equal to their weighted Jaccard similarity.
-Processes stop as soon as they are later than all registers of their document.
-
-Documents with equal bags collapse to one node. A band bucket proposes links of its members to one centre; what is verified
+none and is alike only to itself). The weight axis of a shingle is discretised in unit steps and cut into a hierarchy of octaves
+[0, 1), [1, 2), [2, 4), [4, 8) ...; each octave is a Poisson process of its own whose points carry a time, a register and a place, drawn evenly
+over the octave's steps. Octaves wholly below the weight keep all their points; in the one that holds the weight, points at or above it are
+rejected, which is at most every second one. A register keeps its earliest point, so two documents agree in it with probability equal to their
+weighted Jaccard similarity. Processes stop as soon as they are later than all registers of their document.
+
+Documents with equal bags collapse to one node. Near copies meet in many of their ``BANDS`` buckets; of buckets with the same members (told by their number
+and two order-free fingerprints of 64 bits) one stays. A bucket proposes links of its members to one centre; what is verified
 is merged into components, and the other components try a member of the bucket's largest one, ``STARS`` times. What is still outside is
-compared with all texts of that component, in blocks whose tasks return links only. Documents outside after that are compared with the others that were outside in their bucket, again in blocks whose tasks return
-only links that join components. So what a link between different texts in a common bucket connects is connected, and no pairs are made.
+compared with all texts of that component, in blocks whose tasks return links only. Documents outside after that are compared with the others that were
+outside in their bucket, again in blocks whose tasks return only links that join components. Only texts whose sizes allow the similarity meet: sizes are
+dealt to classes that grow by the threshold, and a class meets itself and its neighbours. So what a link between different texts in a common
+bucket connects is connected, and no pairs are made. Only documents of a bucket with others are ever joined with their texts; these are stored once.
 A pair at the threshold shares none of ``BANDS`` bands of ``ROWS`` with a probability of 1.3e-7.
 
 Null texts count as empty; null ``doc_id`` may be in a class but names it only if all are null; repeated rows are copies of each other.
@@ -18,6 +21,7 @@ Null texts count as empty; null ``doc_id`` may be in a class but names it only i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +30,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from rotaflow.llm.common import GOLD, Words, buffer_of, column, mix, pack_texts, release, sized_slices, slices, stored, unpack_texts, windows, words_of
+from rotaflow.llm.common import GOLD, Words, buffer_of, column, mix, pack_texts, quoted, release, sized_slices, slices, stored, unpack_texts, windows, words_of
 from rotaflow.llm.components import components
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
 STARS = 2  # rounds that propose one centre per bucket before the rest is compared in blocks
-BLOCK = 500  # texts of a side that are compared in one task group, on average
-BLOCK_WORDS = 400_000  # words of a side that are compared in one task group, on average
+BLOCK = 2_000  # texts of a side that are compared in one task group, on average
+BLOCK_WORDS = 1_000_000  # words of a side that are compared in one task group, on average
 
 
 def bags(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,36 +200,33 @@ def _joins_in_block(percent: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Columns of ``docs`` but text, with _class (the smallest doc_id of the class), _keeper, and the packed text.
+    """doc_id, _class (the smallest doc_id of the class), _keeper, the packed text and the struct _others of all columns of ``docs`` but text.
 
-    One row of each class is the keeper: the first with the smallest doc_id. Two documents are linked if their weighted Jaccard similarity is
+    Columns of any name may be there, since they are in the struct. One row of each class is the keeper: the first with the smallest doc_id. Two documents are linked if their weighted Jaccard similarity is
     ``percent`` or more; classes are the connected components.
     """
-    others = [f for f in docs.schema.fields if f.name != "text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    fields += ", _bag binary, _size bigint, _bands array<bigint>, _packed binary, _bytes bigint, _given boolean"
-    ready = docs.select(*[f"`{f.name}`" for f in others], "text").mapInArrow(_sign, fields)
-    signed = stored(ready.withColumn("_row", F.monotonically_increasing_id()), "signed")
+    own = docs.select(F.struct(*[quoted(c) for c in docs.columns if c != "text"]).alias("_others"), "doc_id", "text")
+    made = StructType.fromDDL("_bag binary, _size bigint, _bands array<bigint>, _packed binary, _bytes bigint, _given boolean")
+    fields = StructType([*[f for f in own.schema.fields if f.name != "text"], *made.fields])
+    signed = stored(own.mapInArrow(_sign, fields).withColumn("_row", F.monotonically_increasing_id()), "signed")
 
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))).alias("lead")
     nodes = signed.where("_bag IS NOT NULL").groupBy("_bag", "_size").agg(lead)
     nodes = stored(nodes.select(F.col("_bag").alias("bag"), F.col("lead.no").alias("no"), F.col("lead.id").alias("id"), F.col("lead.row").alias("node"), F.col("_size").alias("size")), "nodes")
     heads = signed.join(nodes.select(F.col("node").alias("_row"), F.col("size").alias("_total")), "_row").select(F.col("_row").alias("node"), F.col("_total").alias("size"), F.explode("_bands").alias("bucket"))
     heads = stored(heads, "bands")
-    full = heads.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    full = stored(full, "buckets").withColumnRenamed("bucket", "same")
+    prints = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]
+    full = heads.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"), *prints).where("n > 1")
+    full = stored(full.groupBy("n", "x1", "x2").agg(F.min(F.struct("bucket", "centre")).alias("one")).select(F.col("one.bucket").alias("same"), "one.centre"), "buckets")
     members = stored(heads.join(full, F.col("bucket") == F.col("same")).select("bucket", "node", "size", "centre"), "members")
     release(heads, full)
+    wanted = members.select(F.col("node").alias("_row")).distinct()
+    linked = stored(signed.select("_row", "_packed", "_bytes").join(wanted, "_row").select(F.col("_row").alias("node"), F.col("_packed").alias("packed"), F.col("_bytes").alias("bytes")), "linked-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-        texts = signed.select("_row", "_packed", "_bytes").join(wanted, "_row")
-        texts = stored(texts, "texts")
         for x in "ab":
-            pairs = pairs.join(texts.withColumnsRenamed({"_row": x, "_packed": f"packed_{x}", "_bytes": f"bytes_{x}"}), x)
-        links = stored(pairs.mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
-        release(texts)
-        return links
+            pairs = pairs.join(linked.withColumnsRenamed({"node": x, "packed": f"packed_{x}", "bytes": f"bytes_{x}"}), x)
+        return stored(pairs.mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
 
     alike = (100 * F.col("size") >= percent * F.col("size2")) & (100 * F.col("size2") >= percent * F.col("size"))
 
@@ -245,40 +247,44 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         columns = [F.col("c.part").alias("part2"), F.col("c.drawn.node").alias("node2"), F.col("c.drawn.size").alias("size2")]
         return left, stored(centre.select("same", *columns), "centres")
 
-    def n_blocks(df: DataFrame, group: str, name: str) -> DataFrame:
-        return df.groupBy(group).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_WORDS)).alias(name))
-
-    def texts() -> DataFrame:
-        return signed.select(F.col("_row").alias("node"), F.col("_packed").alias("packed"), F.col("_bytes").alias("bytes"))
-
-    def within_buckets(still: DataFrame, right: DataFrame) -> DataFrame:
-        """Links that join the components of ``still`` and ``right`` in each bucket; both have bucket, node, size and part."""
-        several = right.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("bucket")
-        blocks = n_blocks(still, "bucket", "askers").join(n_blocks(right, "bucket", "blocks").join(several, "bucket"), "bucket")
+    def classed(df: DataFrame, asks: bool) -> DataFrame:
+        """``df`` with the class of its size; rows that ask go to all classes of sizes that allow the similarity (a millionth more, for rounding)."""
+        if percent >= 100:
+            return df.withColumn("class", F.col("size"))
+        place = F.log(F.col("size").cast("double")) / math.log(100 / percent)
+        near = F.sequence(F.floor(place - 1 - 1e-6), F.floor(place + 1 + 1e-6))
+        return df.withColumn("class", F.explode(near) if asks else F.floor(place))
+
+    def n_blocks(df: DataFrame, group: list[str], name: str) -> DataFrame:
+        return df.groupBy(*group).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_WORDS)).alias(name))
+
+    def in_blocks(own: DataFrame, others: DataFrame, among: str, several: DataFrame | None, compare, name: str) -> DataFrame:
+        """The links that ``compare`` finds between the rows of both sides that have ``among`` in common and sizes that allow them."""
+        group = [among, "class"]
+        own, others = classed(own, True), classed(others, False)
+        found = n_blocks(others, group, "blocks")
+        blocks = n_blocks(own, group, "askers").join(found if several is None else found.join(several, among), group)
         blocks = stored(blocks, "blocks")
-        group = ["bucket", "block", "asker"]
         asker, block = F.pmod(F.xxhash64("node"), "askers").alias("asker"), F.pmod(F.xxhash64("node"), "blocks").alias("block")
-        own = still.join(blocks, "bucket").select("bucket", "node", "part", asker, F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
-        others = right.join(blocks, "bucket").select("bucket", "node", "part", block, F.explode(F.expr("sequence(0L, askers - 1)")).alias("asker"))
-        own, others = (x.join(texts(), "node").groupBy(*group) for x in (own, others))
-        links = stored(own.cogroup(others).applyInPandas(_joins_in_block(percent), "a bigint, b bigint"), "bucket-links")
+        part = [c for c in ("part",) if c in own.columns]
+        own = own.join(blocks, group).select(*group, "node", *part, asker, F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
+        others = others.join(blocks, group).select(*group, "node", *part, block, F.explode(F.expr("sequence(0L, askers - 1)")).alias("asker"))
+        texts = lambda: linked.select("node", F.col("packed").alias("packed"), F.col("bytes").alias("bytes"))  # noqa: E731  columns of each side's own
+        own, others = (x.join(texts(), "node").groupBy(*group, "block", "asker") for x in (own, others))
+        links = stored(own.cogroup(others).applyInPandas(compare(percent), "a bigint, b bigint"), name)
         release(blocks)
         return links
 
+    def within_buckets(still: DataFrame, right: DataFrame) -> DataFrame:
+        """Links that join the components of ``still`` and ``right`` in each bucket; both have bucket, node, size and part."""
+        several = right.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("bucket")
+        return in_blocks(still, right, "bucket", several, _joins_in_block, "bucket-links")
+
     def against_whole(asked: DataFrame, found: DataFrame) -> DataFrame:
         """A link, if there is one, between each node asked for and each block of the component ``whole``."""
-        sized = nodes.select("node", "size").join(found, "node", "left")  # a node without links is a component of its own
-        sized = sized.select("node", "size", F.coalesce("component", "node").alias("whole"))
-        inside = sized.select("node", "whole")
-        blocks = stored(n_blocks(asked, "whole", "askers").join(n_blocks(sized, "whole", "blocks"), "whole"), "blocks")
-        group = ["whole", "block", "asker"]
-        asker, block = F.pmod(F.xxhash64("node"), "askers").alias("asker"), F.pmod(F.xxhash64("node"), "blocks").alias("block")
-        own = asked.join(blocks, "whole").select("whole", "node", asker, F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
-        others = inside.join(blocks, "whole").select("whole", "node", block, F.explode(F.expr("sequence(0L, askers - 1)")).alias("asker"))
-        own, others = (x.join(texts(), "node").groupBy(*group) for x in (own, others))
-        links = stored(own.cogroup(others).applyInPandas(_links_in_block(percent), "a bigint, b bigint"), "block-links")
-        release(blocks)
-        return links
+        inside = nodes.select("node", "size").join(found, "node", "left")  # a node without links is a component of its own
+        inside = inside.select("node", "size", F.coalesce("component", "node").alias("whole"))
+        return in_blocks(asked, inside, "whole", None, _links_in_block, "block-links")
 
     tested = stored(members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "first-pairs")
     links = verified(tested)
@@ -306,7 +312,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     still, right = stored(still, "still-outside"), stored(right, "were-outside")
     release(found, centre, members, outside)
     links = links.union(within_buckets(still, right))
-    release(tested, still, right)
+    release(tested, still, right, linked)
     found = components(links)
     release(links)
 
@@ -318,12 +324,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     out = signed.join(named, F.col("_bag") == F.col("_same"), "left")
     alone = F.col("_same").isNull()
     keeper = alone | (F.col("_row") == F.col("_first"))
-    return out.select(
-        *[f"`{f.name}`" for f in others],
-        F.when(alone, F.col("doc_id")).otherwise(F.col("_named")).alias("_class"),
-        keeper.alias("_keeper"),
-        "_packed", "_bytes", "_given",
-    )
+    name = F.when(alone, F.col("doc_id")).otherwise(F.col("_named")).alias("_class")
+    return out.select("doc_id", name, keeper.alias("_keeper"), "_others", "_packed", "_bytes", "_given")
 
 
 def unpacked(found: DataFrame, columns: list[str], schema) -> DataFrame:
@@ -334,7 +336,7 @@ def unpacked(found: DataFrame, columns: list[str], schema) -> DataFrame:
             for part in sized_slices(batch, "_bytes"):
                 texts = unpack_texts(column(part, "_packed"), column(part, "_bytes"))
                 texts = pc.if_else(column(part, "_given"), texts, pa.scalar(None, pa.string()))
-                yield pa.RecordBatch.from_arrays([texts if c == "text" else column(part, c) for c in columns], columns)
+                given = column(part, "_others")
+                yield pa.RecordBatch.from_arrays([texts if c == "text" else given.field(c) for c in columns], columns)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return found.mapInArrow(run, fields)
+    return found.mapInArrow(run, schema)
