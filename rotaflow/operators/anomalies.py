@@ -118,7 +118,8 @@ def anomaly_payload(
 
     ``sites`` holds ``well_id, site_id, pump_id, sensor_ids`` (map), one row per
     machine; it is left-joined without a forced broadcast. ``scored`` may carry a
-    ``prediction`` struct.
+    ``prediction`` struct, the ``model_version`` it came from, and the ``reason`` of the
+    report, which stays.
     """
     hit = hits()
     texts = [
@@ -145,9 +146,12 @@ def anomaly_payload(
         param_map({p: F.col(f"baseline_{p}") for p in PARAMETERS}).alias("baseline_values"),
         current.alias("current_values"),
     )
+    version = F.lit(model_version)
+    if "model_version" in scored.columns:
+        version = F.coalesce(F.col("model_version"), version)
     metadata = F.struct(
         F.lit(V.MODEL_NAME).alias("modelName"),
-        F.lit(model_version).alias("modelVersion"),
+        version.alias("modelVersion"),
         F.lit(V.FRAMEWORK).alias("framework"),
         F.col("category").alias("tolerance_category"),
         prediction["confidence"].alias("confidence"),
@@ -170,6 +174,7 @@ def anomaly_payload(
         F.when(sensor.isNotNull(), measured.cast("double")).alias("logValue"),
         context.alias("additionalContext"),
         metadata.alias("metadata"),
+        *[c for c in ("reason",) if c in scored.columns],
     )
 
 

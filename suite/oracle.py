@@ -262,7 +262,26 @@ PARTS["features"] = f"""
         power_deviation_pct * efficiency_deviation_pct AS power_efficiency_product
     FROM slopes"""
 
+PARTS["recent"] = f"""
+    SELECT *, avg(flow) OVER {frame(24)} AS recent_flow_mean, row_number() OVER {WIN} AS number,
+           count(*) OVER (PARTITION BY well_id) AS total FROM telemetry"""
+PARTS["edge_lines"] = """
+    SELECT well_id, count(*) AS readings, regr_intercept(rul, recent_flow_mean) AS intercept,
+           regr_slope(rul, recent_flow_mean) AS slope
+    FROM (SELECT *, greatest(0e0, date_diff('microsecond', ts, failure_ts) / 86400000000e0) AS rul
+          FROM recent JOIN failures USING (well_id)
+          WHERE number <= total - ceil(total * 0.2e0))
+    GROUP BY well_id"""
+PARTS["edge_predicted"] = """
+    SELECT * EXCLUDE (raw), CASE WHEN raw IS NOT NULL THEN round_even(greatest(0e0, raw) * 100, 0) / 100 + 0e0 END AS rul_days,
+        CASE WHEN raw < 7 THEN 0.9e0 WHEN raw < 14 THEN 0.7e0 WHEN raw < 30 THEN 0.5e0 WHEN raw IS NOT NULL THEN 0.3e0 END AS probability
+    FROM (SELECT e.*, CASE WHEN r.number >= 40 THEN l.intercept + l.slope * r.recent_flow_mean END AS raw
+          FROM edge e JOIN recent r USING (well_id, ts, l_orderkey, l_linenumber, l_partkey) LEFT JOIN edge_lines l USING (well_id))"""
+
 NEEDS = {
+    "recent": ["telemetry"],
+    "edge_lines": ["recent", "failures"],
+    "edge_predicted": ["edge", "recent", "edge_lines"],
     "numbered": ["telemetry"],
     "registry": ["machines"],
     "early": ["numbered"],
@@ -1131,6 +1150,32 @@ oracle(
     "predicted",
     recursive=debounce_parts(False, False),
 )
+oracle(
+    "machine_model",
+    "SELECT well_id, readings, round(intercept, 4) + 0e0 AS intercept, round(slope, 4) + 0e0 AS slope FROM edge_lines",
+    "edge_lines",
+)
+for _name in ("edge_run", "stream_edge_run"):
+    oracle(
+        _name,
+        f"""SELECT well_id, ts, 'Pump anomaly detected - ' || array_to_string({VIOLATION_TEXT}, ', ') AS description,
+            sensor_base + w AS "sensorId",
+            CASE WHEN mandatory_exceeded THEN 'Mandatory parameter exceeded'
+                 WHEN status IN ('Critical', 'Failure') THEN 'Status is ' || status
+                 WHEN probability > 0.7 AND rul_days < 7 THEN 'High confidence failure prediction'
+                 ELSE 'Warning status' END AS reason,
+            {r6(f"[{each('@')}][w]")} AS "logValue", status,
+            CASE WHEN rul_days IS NULL THEN '1.0.0' ELSE '2.0' END AS "modelVersion",
+            CASE WHEN rul_days IS NOT NULL THEN 'linear' END AS model_type,
+            rul_days AS prediction_rul_days, probability AS prediction_probability
+        FROM (SELECT p.*, sensor_base, {WORST} AS w
+              FROM (SELECT *, row_number() OVER {WIN} AS k FROM edge_predicted WHERE mask > 0) p
+              JOIN decided d ON d.well_id = p.well_id AND d.k = p.k JOIN sites ON sites.well_id = p.well_id
+              WHERE d.blocked_by IS NULL)""",
+        "edge_predicted",
+        "sites",
+        recursive=debounce_parts(False, False),
+    )
 oracle(
     "ml_gate",
     "SELECT well_id, count(*) AS readings, count(*) >= 600 AS ready FROM telemetry GROUP BY well_id",

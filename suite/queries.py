@@ -17,8 +17,10 @@ from rotaflow.operators import (
     anomaly_log,
     convert,
     debounce,
+    edge,
     features,
     fleet,
+    machine_models,
     model,
     quality,
     report,
@@ -28,6 +30,9 @@ from rotaflow.plans.timeline import MAX_ROWS, Timeline
 from rotaflow.session import fresh_path
 from rotaflow.sources import readers, warehouse, writers
 from rotaflow.streaming import live
+from rotaflow.streaming.edge import stream_decisions, stream_edge_features
+from rotaflow.streaming.edge import stream_edge_run as stream_edge_run_of
+from rotaflow.streaming.ordered import Delays, arriving, state_store
 
 PAUSE_MINUTES = 10_080  # readings of the given tables are days apart
 SHIFT = 3.1e-9
@@ -1063,13 +1068,40 @@ def stream_status(g: Given) -> DataFrame:
     return live.run_to_table(scored, g.path("live"), g.path("live-state"))
 
 
+JITTER_DAYS = 30  # readings arrive this much later than they were taken, at most
+DELAYS = Delays(order=(JITTER_DAYS + 1) * 1440, late=1440)
+ARRIVALS, FILES = 6, 2  # micro-batches, and files of each
+READY_FROM = 40
+
+
+def _arriving(g: Given) -> DataFrame:
+    """The telemetry as a stream out of order: each file holds what arrived in a stretch of time, in no order.
+
+    A marker far in the future ends the stream, so that the watermark passes all readings.
+    """
+    path = g.path("arrivals")
+    late = F.pmod(F.xxhash64("reading_id"), F.lit(JITTER_DAYS)).cast("int")
+    rows = g.telemetry.withColumn("_day", F.date_diff(F.col("ts"), F.lit("1990-01-01").cast("date")) + late)
+    first, last = rows.agg(F.min("_day"), F.max("_day")).first()
+    part = F.floor((F.col("_day") - first) * ARRIVALS / (last - first + 1))
+    for k in range(ARRIVALS):
+        rows.where(part == k).drop("_day").repartition(FILES).write.parquet(f"{path}/{k}")
+    end = g.telemetry.limit(1).withColumns(
+        {"well_id": F.lit("end of stream"), "ts": F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")}
+    )
+    end.write.parquet(f"{path}/{ARRIVALS}")
+    reader = g.spark.readStream.schema(g.telemetry.schema).option("maxFilesPerTrigger", FILES)
+    return reader.parquet(f"{path}/*")
+
+
 @query
 def stream_debounce(g: Given) -> DataFrame:
-    scored = live.stream_status(live.watermarked(_live(g), dedup=False), g.fleet)
+    """Alarms that arrive out of order over six micro-batches, decided in event-time order."""
+    scored = live.stream_status(arriving(_arriving(g), DELAYS), g.fleet)
     made = live.run_to_table(
-        live.debounce_stream(scored, PAUSE_MINUTES), g.path("decisions"), g.path("decisions-state")
+        stream_decisions(scored, DELAYS, PAUSE_MINUTES), g.path("decisions"), g.path("decisions-state")
     )
-    return made.select(
+    return made.where("NOT late").select(
         "well_id", "ts", F.col("mask").cast("long").alias("mask"), "blocked_by", "elapsed_minutes"
     )
 
@@ -1082,14 +1114,14 @@ def stream_dedup(g: Given) -> DataFrame:
 
 @query
 def stream_rolling_24(g: Given) -> DataFrame:
+    """Each machine's newest statistics after readings that arrived out of order."""
     made = live.run_to_table(
-        live.stream_rolling(_live(g), minimum=600),
-        g.path("rolling"),
-        g.path("rolling-state"),
-        mode="update",
+        stream_edge_features(_arriving(g), DELAYS, minimum=600), g.path("rolling"), g.path("rolling-state")
     )
-    newest = F.max_by(F.struct(*made.columns), "ts")
-    return r6(longs(made.groupBy("well_id").agg(newest.alias("r")).select("r.*")))
+    made = made.where("NOT late AND well_id <> 'end of stream'")
+    stats = [F.col(f"recent_{n}").alias(n) for n in (f"{p}_{s}" for p in PARAMETERS for s in edge.STATISTICS)]
+    newest = F.max_by(F.struct("ts", "readings", "ready", *stats), F.struct("ts", "reading_id"))
+    return r6(longs(made.groupBy("well_id").agg(newest.alias("r")).select("well_id", "r.*")))
 
 
 @query
@@ -1104,6 +1136,68 @@ def stream_outbox(g: Given) -> DataFrame:
     )
 
 
+# -- the edge run -------------------------------------------------------------------
+
+EDGE_FEATURES = ["recent_flow_mean"]
+
+
+def _edge_split(g: Given) -> DataFrame:
+    made = edge.edge_features(g.telemetry, g.timeline, minimum=READY_FROM)
+    return features.chronological_split(features.rul_labels(made, g.failures), g.timeline)
+
+
+def _edge_models(g: Given) -> DataFrame:
+    """Models of every machine, saved as a version and loaded again."""
+    path = g.path("edge-models")
+    fitted = machine_models.fit_machines(_edge_split(g), EDGE_FEATURES)
+    machine_models.save_models(fitted, path, "2.0", EDGE_FEATURES)
+    return machine_models.load_models(g.spark, path, "2.0")[0]
+
+
+@query
+def machine_model(g: Given) -> DataFrame:
+    """Remaining life by the mean flow of the newest readings: a line per machine."""
+    fitted = machine_models.fit_machines(_edge_split(g), EDGE_FEATURES)
+    line = fitted.select("well_id", "readings", "intercept", F.col("coefficients")[0].alias("slope"))
+    return line.withColumns({c: F.round(c, 4) + 0.0 for c in ("intercept", "slope")})
+
+
+def _edge_digest(records: DataFrame) -> DataFrame:
+    return records.select(
+        "well_id", "ts", "description", "sensorId", "reason",
+        half_safe("logValue").alias("logValue"),
+        F.col("additionalContext.status").alias("status"),
+        F.col("metadata.modelVersion").alias("modelVersion"),
+        F.col("metadata.model_type").alias("model_type"),
+        F.col("metadata.prediction_rul_days").alias("prediction_rul_days"),
+        F.col("metadata.prediction_probability").alias("prediction_probability"),
+    )
+
+
+@query
+def edge_run(g: Given) -> DataFrame:
+    """What the edge reports: debounced alarms with the remaining life that each machine's model gives."""
+    return _edge_digest(
+        edge.edge_run(
+            g.telemetry, g.fleet, g.sites, _edge_models(g), EDGE_FEATURES, g.timeline,
+            minutes=PAUSE_MINUTES, minimum=READY_FROM,
+        )
+    )
+
+
+@query
+def stream_edge_run(g: Given) -> DataFrame:
+    """The same as one stream with two stateful operators, over readings that arrive out of order; sent through the outbox."""
+    run = stream_edge_run_of(
+        _arriving(g), g.fleet, g.sites, _edge_models(g), EDGE_FEATURES, DELAYS, minutes=PAUSE_MINUTES, minimum=READY_FROM
+    )
+    path = g.path("edge-outbox")
+    with state_store(g.spark):
+        query = live.start_outbox(run, path, g.path("edge-state"), available_now=True)
+    query.awaitTermination()
+    return _edge_digest(g.spark.read.parquet(path))
+
+
 # -- models -------------------------------------------------------------------------
 
 

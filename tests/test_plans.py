@@ -14,6 +14,8 @@ from rotaflow.plans.timeline import Timeline
 from rotaflow.session import cut_lineage
 from rotaflow.sources.writers import save_bucketed
 from rotaflow.streaming import live
+from rotaflow.streaming.edge import stream_decisions
+from rotaflow.streaming.ordered import Delays, arriving
 from suite.queries import Given
 
 START = datetime(2024, 1, 1)
@@ -142,39 +144,19 @@ def test_debounce(spark, max_rows, reset, bypass):
 
 
 def test_stream_debounce_over_many_batches(spark, tmp_path):
-    """State carries over micro-batches: 8 files, one per batch, in time order."""
+    """State carries over micro-batches: 4 files, one per batch, and a last one that ends the stream."""
     rows = alarm_rows(9)
     source = str(tmp_path / "in")
-    for i in range(0, len(rows), 50):
-        alarm_frame(spark, rows[i : i + 50]).coalesce(1).write.mode("append").parquet(source)
+    end = ("end", START + timedelta(days=9999), 0, 0, 0)
+    for part in (*(rows[i : i + 100] for i in range(0, len(rows), 100)), [end]):
+        alarm_frame(spark, part).coalesce(1).write.mode("append").parquet(source)
     stream = (
         spark.readStream.schema(alarm_frame(spark, rows[:1]).schema)
         .option("maxFilesPerTrigger", 1)
         .parquet(source)
     )
-    decided = live.debounce_stream(live.watermarked(stream, dedup=False), 60)
-    made = live.run_to_table(decided, str(tmp_path / "out"), str(tmp_path / "state"))
-    expected = brute_debounce(rows, 60)
-    blocked = sum(1 for v in expected.values() if v)
-    assert made.count() == len(expected)
-    assert made.where("blocked_by is not null").count() == blocked
-
-
-def test_stream_rolling_keeps_only_the_window(spark, tmp_path, folder):
-    given = Given(spark, folder)
-    source = str(tmp_path / "in")
-    flat = given.telemetry.withColumn("reading_id", F.xxhash64("reading_id"))
-    bounds = ["1900-01-01", "1997-01-01", "1999-01-01", "2100-01-01"]
-    for low, high in zip(bounds, bounds[1:]):
-        flat.where(f"ts >= timestamp_ntz'{low}' and ts < timestamp_ntz'{high}'").coalesce(
-            1
-        ).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(flat.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    delays = Delays()
     made = live.run_to_table(
-        live.stream_rolling(stream), str(tmp_path / "out"), str(tmp_path / "state"), "update"
+        stream_decisions(arriving(stream, delays), delays, 60), str(tmp_path / "out"), str(tmp_path / "state")
     )
-    newest = made.groupBy("well_id").agg(F.max_by("flow_max", "ts").alias("flow_max"))
-    from rotaflow.operators.features import latest_24_stats
-
-    expected = latest_24_stats(flat, Timeline.of(flat)).select("well_id", "flow_max")
-    assert newest.exceptAll(expected).isEmpty()
+    assert {r["reading_id"]: r["blocked_by"] for r in made.collect()} == brute_debounce(rows, 60)
