@@ -191,20 +191,27 @@ def sized_slices(batch: pa.RecordBatch, *sizes: str) -> Iterator[pa.RecordBatch]
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Joins of a large table with the few keys that are wanted of it: Spark drops other rows before the exchange by a Bloom filter of bounded size.
+BLOOM = "spark.sql.optimizer.runtime.bloomFilter"
+FILTERED = {f"{BLOOM}.enabled": "true", f"{BLOOM}.applicationSideScanSizeThreshold": "0", f"{BLOOM}.creationSideThreshold": "1g"}
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, filtered: bool = False) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: a lost executor costs no recomputation.
 
-    The shuffle files of the write go when it has ended; nothing reads them again.
+    The shuffle files of the write go when it has ended; nothing reads them again. With ``filtered`` joins with stored keys under a
+    condition drop rows early by a Bloom filter.
     """
     spark = df.sparkSession
-    path, before = fresh_path(spark, f"llm-{name}"), spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    path, wanted = fresh_path(spark, f"llm-{name}"), {CLEANUP: "true"} | (FILTERED if filtered else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

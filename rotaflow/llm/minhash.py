@@ -38,8 +38,8 @@ from rotaflow.llm.components import components
 SHINGLE = 5
 BANDS, ROWS = 40, 5
 STARS = 2  # rounds that propose one centre per bucket before the rest is compared in blocks
-BLOCK = 2_000  # texts of a side that are compared in one task group, on average
-BLOCK_WORDS = 1_000_000  # words of a side that are compared in one task group, on average
+BLOCK = 500  # texts of a side that are compared in one task group, on average
+BLOCK_WORDS = 400_000  # words of a side that are compared in one task group, on average
 
 
 def bags(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,18 +210,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     fields = StructType([*[f for f in own.schema.fields if f.name != "text"], *made.fields])
     signed = stored(own.mapInArrow(_sign, fields).withColumn("_row", F.monotonically_increasing_id()), "signed")
 
-    lead = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))).alias("lead")
-    nodes = signed.where("_bag IS NOT NULL").groupBy("_bag", "_size").agg(lead)
-    nodes = stored(nodes.select(F.col("_bag").alias("bag"), F.col("lead.no").alias("no"), F.col("lead.id").alias("id"), F.col("lead.row").alias("node"), F.col("_size").alias("size")), "nodes")
-    heads = signed.join(nodes.select(F.col("node").alias("_row"), F.col("size").alias("_total")), "_row").select(F.col("_row").alias("node"), F.col("_total").alias("size"), F.explode("_bands").alias("bucket"))
-    heads = stored(heads, "bands")
+    # one row per bag: the first with the smallest doc_id, and its bands
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("_row").alias("row"), F.col("_bands").alias("bands"))).alias("lead")
+    signed_nodes = signed.where("_bag IS NOT NULL").groupBy("_bag", "_size").agg(lead)
+    signed_nodes = stored(signed_nodes.select(F.col("_bag").alias("bag"), F.col("lead.no").alias("no"), F.col("lead.id").alias("id"), F.col("lead.row").alias("node"), F.col("_size").alias("size"), "lead.bands"), "nodes")
+    nodes = signed_nodes.drop("bands")
+    heads = signed_nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    full = stored(heads.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("bucket").alias("same")), "buckets")
+    members = stored(heads.join(full.where("same <> 0"), F.col("bucket") == F.col("same")).select("bucket", "node", "size"), "members", filtered=True)
+    release(full)
     prints = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]
-    full = heads.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"), *prints).where("n > 1")
-    full = stored(full.groupBy("n", "x1", "x2").agg(F.min(F.struct("bucket", "centre")).alias("one")).select(F.col("one.bucket").alias("same"), "one.centre"), "buckets")
-    members = stored(heads.join(full, F.col("bucket") == F.col("same")).select("bucket", "node", "size", "centre"), "members")
-    release(heads, full)
-    wanted = members.select(F.col("node").alias("_row")).distinct()
-    linked = stored(signed.select("_row", "_packed", "_bytes").join(wanted, "_row").select(F.col("_row").alias("node"), F.col("_packed").alias("packed"), F.col("_bytes").alias("bytes")), "linked-texts")
+    sets = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"), *prints)
+    sets = stored(sets.groupBy("n", "x1", "x2").agg(F.min(F.struct("bucket", "centre")).alias("one")).select(F.col("one.bucket").alias("same"), "one.centre"), "member-sets")
+    every = members
+    members = stored(every.join(sets, F.col("bucket") == F.col("same")).select("bucket", "node", "size", "centre"), "members")
+    release(every, sets)
+    wanted = stored(members.select(F.col("node").alias("_row")).distinct(), "wanted")
+    linked = signed.select("_row", "_packed", "_bytes").join(wanted.where("_row >= 0"), "_row")
+    linked = stored(linked.select(F.col("_row").alias("node"), F.col("_packed").alias("packed"), F.col("_bytes").alias("bytes")), "linked-texts", filtered=True)
+    release(wanted)
 
     def verified(pairs: DataFrame) -> DataFrame:
         for x in "ab":
@@ -320,7 +327,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     named = nodes.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
     classes = stored(named.groupBy("part").agg(first).select("part", "first"), "classes")
     named = stored(named.join(classes, "part").select(F.col("bag").alias("_same"), F.col("first.id").alias("_named"), F.col("first.node").alias("_first")), "names")
-    release(nodes, found, classes)
+    release(signed_nodes, found, classes)
     out = signed.join(named, F.col("_bag") == F.col("_same"), "left")
     alone = F.col("_same").isNull()
     keeper = alone | (F.col("_row") == F.col("_first"))
