@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rotaflow import fixed_values as V
 from rotaflow.fixed_values import PARAMETERS
 from rotaflow.functions import rules
 from rotaflow.operators.status import DEVIATIONS
-from rotaflow.plans.timeline import Timeline
+from rotaflow.plans.timeline import Timeline, micros
 from rotaflow.schemas import feature_names
 
 _STAT_FIELDS = ("n", "mean", "m2", "max", "min")
+LONGEST_DIRECT = 64  # rows of a frame that is read again for every reading
+MOST_PARTS = 16  # short frames that one long frame is put together from
 
 
 def engineer_features(
@@ -25,10 +28,11 @@ def engineer_features(
     Every window function shares one specification, so readings are exchanged
     and sorted once. A long window that is a multiple of the short one is put
     together from the short one's moments at equal distances (7 look-ups
-    instead of 168 re-reads per reading for the default windows).
+    instead of 168 re-reads per reading for the default windows). Other long windows are
+    put together from blocks, see ``_block_moments``. Readings without a machine have no features.
     """
-    base = deviations.select("well_id", "ts", "reading_id", *DEVIATIONS)
-    timeline.look_back(max(windows) + 1)
+    base = deviations.where(F.col("well_id").isNotNull()).select("well_id", "ts", "reading_id", *DEVIATIONS)
+    timeline = timeline.looking_back(max(windows) + 1)
     attached = timeline.with_carry(timeline.attach(base), sums=DEVIATIONS)
     w = timeline.window()
 
@@ -36,11 +40,16 @@ def engineer_features(
     first |= {f"_total_{p}": timeline.running_sum(f"{p}_deviation_pct") for p in PARAMETERS}
     first |= slopes(w, windows)
     short = min(windows)
-    composed = [n for n in windows if n > short and n % short == 0]
-    direct = [n for n in windows if n not in composed]
+    composed = [n for n in windows if n > short and n % short == 0 and n // short <= MOST_PARTS]
+    blocked = [n for n in windows if n not in composed and n > LONGEST_DIRECT]
+    direct = [n for n in windows if n not in composed and n not in blocked]
     for n in direct:
         first |= {f"_stats_{n}": _moments(w.rowsBetween(1 - n, 0))}
+    if blocked:
+        first["_number"] = timeline.row_number()
     staged = attached.withColumns(first)
+    for n in blocked:
+        staged = _block_moments(staged, timeline, n)
 
     second = {
         f"{p}_acceleration_{n}h": F.coalesce(
@@ -63,6 +72,8 @@ def engineer_features(
             parts = [F.col(f"_stats_{short}")]
             parts += [F.col(f"_back_{n}_{step}") for step in range(1, n // short)]
             third |= _named_stats(p, n, parts)
+        for n in blocked:
+            third |= _named_stats(p, n, [F.col(f"_stats_{n}"), F.col(f"_back_{n}")])
         third[f"{p}_cumulative_deviation"] = F.when(dev.isNotNull(), F.col(f"_total_{p}"))
         third[f"{p}_abs_deviation"] = F.abs(dev)
     third |= time_features("_start") | interactions()
@@ -71,6 +82,47 @@ def engineer_features(
     )
 
 
+def _block_moments(rows: DataFrame, timeline: Timeline, n: int) -> DataFrame:
+    """Adds ``_stats_n`` and ``_back_n``: the moments of two adjoining parts of each reading's last ``n`` readings.
+
+    A machine's readings are cut into blocks of ``n`` by their number. A frame of ``n`` is the head of its reading's block and a tail of the block
+    before; heads and tails of all readings are running aggregates, so the cost of a reading does not grow with ``n``.
+    """
+    block = F.floor((F.col("_number") - 1) / n)
+    rows = rows.withColumn("_block", block)
+    by_block = W.partitionBy(*timeline.keys(), "_block")
+    heads = by_block.orderBy(*timeline.order).rowsBetween(W.unboundedPreceding, 0)
+    tails = by_block.orderBy(*[F.col(c).desc() for c in timeline.order]).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_stats_{n}": _moments(heads), "_tail": _moments(tails)})
+    whole_block = F.col("_number") % n == 0
+    back = F.when(~whole_block, F.lag("_tail", n - 1).over(timeline.window()))
+    return rows.withColumn(f"_back_{n}", back).drop("_tail", "_block")
+
+
+def rolling_time(
+    deviations: DataFrame, timeline: Timeline, hours: float = 24.0, columns: Sequence[str] = DEVIATIONS
+) -> DataFrame:
+    """Count, mean, sample deviation, max and min over the readings of the last ``hours``, the reading's own instant included.
+
+    The frame is measured in time, so it holds any number of readings; slices of hot machines reach back as far in time.
+    Names: ``{column}_{statistic}``, next to ``well_id, ts, reading_id, readings``.
+    """
+    span = int(hours * 3_600_000_000)
+    timeline = timeline.looking_back(micros=span)
+    kept = deviations.where(F.col("well_id").isNotNull() & F.col("ts").isNotNull())
+    attached = timeline.attach(kept.select("well_id", "ts", "reading_id", *columns)).withColumn("_tick", micros("ts"))
+    frame = W.partitionBy(*timeline.keys()).orderBy("_tick").rangeBetween(-span, 0)
+    made = {"readings": F.count("*").over(frame)}
+    for c in columns:
+        made |= {
+            f"{c}_mean": F.avg(c).over(frame),
+            f"{c}_std": F.coalesce(F.stddev_samp(c).over(frame), F.lit(0.0)),
+            f"{c}_max": F.max(c).over(frame),
+            f"{c}_min": F.min(c).over(frame),
+        }
+    return timeline.core(attached.withColumns(made)).drop("_tick", *columns)
+
+
 def _moments(frame) -> Column:
     """Count, mean, squared deviation, max and min of each parameter over a frame."""
     fields = []
@@ -149,7 +201,8 @@ def numeric_features(df: DataFrame, exclude: Sequence[str]) -> list[str]:
 
 
 def fill_forward(df: DataFrame, columns: Sequence[str], timeline: Timeline) -> DataFrame:
-    """Missing values become the machine's last known value, or 0 before any."""
+    """Missing values become the machine's last known value, or 0 before any; rows without a machine go."""
+    df = df.where(F.col("well_id").isNotNull())
     attached = timeline.with_carry(timeline.attach(df), lasts=columns)
     filled = attached.withColumns(
         {f"_filled_{c}": F.coalesce(timeline.last_value(c), F.lit(0.0)) for c in columns}
@@ -183,8 +236,8 @@ def label_stats(labelled: DataFrame) -> DataFrame:
 
 
 def chronological_split(df: DataFrame, timeline: Timeline, test_share: float = 0.2) -> DataFrame:
-    """Adds ``is_test``: true for the last ``ceil(share * n)`` readings of a machine."""
-    attached = timeline.attach(df)
+    """Adds ``is_test``: true for the last ``ceil(share * n)`` readings of a machine; rows without a machine go."""
+    attached = timeline.attach(df.where(F.col("well_id").isNotNull()))
     rows = timeline.machine_rows()
     marked = attached.withColumn(
         "is_test", timeline.row_number() > rows - F.ceil(rows * test_share)
@@ -215,7 +268,7 @@ def scale_features(df: DataFrame, scaler: DataFrame, columns: Sequence[str]) ->
 
 def latest_24_stats(telemetry: DataFrame, timeline: Timeline, rows: int = 24) -> DataFrame:
     """Mean, sample deviation, max and min of each machine's newest raw readings."""
-    newest = timeline.last_rows(telemetry, rows)
+    newest = timeline.last_rows(telemetry.where(F.col("well_id").isNotNull()), rows)
     aggs = []
     for p in PARAMETERS:
         aggs += [

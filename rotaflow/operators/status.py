@@ -96,7 +96,7 @@ def sustained_violation(
     26th reading on. ``both_sides`` also counts readings below the lower limit.
     """
 
-    timeline.look_back(history_window + 1)
+    timeline = timeline.looking_back(history_window + 1)
 
     def over(p: str):
         flag = rules.above(
@@ -156,8 +156,11 @@ def analyse(telemetry: DataFrame, fleet: DataFrame, timeline: Timeline, **option
     """Deviations and status of all readings, exchanging raw readings only.
 
     With hot machines the dimension is joined first: if it is too large to be
-    broadcast, that join must not undo the slices.
+    broadcast, that join must not undo the slices. Readings without a machine have no
+    baseline and go before anything is numbered.
     """
+    timeline = timeline.looking_back(options.get("history_window", V.HISTORY_WINDOW) + 1)
+    telemetry = telemetry.where(F.col("well_id").isNotNull())
     if timeline.sliced:
         return classify_status(deviation_pct(telemetry, fleet), timeline, **options)
     return classify_status(deviation_pct(timeline.number(telemetry), fleet), timeline, **options)
@@ -418,7 +421,7 @@ def band_excess(series: DataFrame) -> DataFrame:
 
 def deviation_trend(deviations: DataFrame, timeline: Timeline, window: int = 24) -> DataFrame:
     """Change per reading over ``window`` readings; NULL until there are enough."""
-    timeline.look_back(window)
+    timeline = timeline.looking_back(window)
     attached = timeline.attach(deviations.select("well_id", "ts", "reading_id", *DEVIATIONS))
     w = timeline.window()
     trends = attached.withColumns(

@@ -18,7 +18,7 @@ If no machine is hot nothing is added to the plan: one exchange on ``well_id``.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
@@ -65,6 +65,9 @@ class Timeline:
     slices: DataFrame | None = None
     small: bool = True
     halo: int = HALO_ROWS
+    span: int = 0  # microseconds the halo reaches back at least
+    buckets: DataFrame | None = None
+    max_rows: int = MAX_ROWS
 
     # -- planning -------------------------------------------------------------
 
@@ -105,17 +108,12 @@ class Timeline:
             )
             if buckets.where(F.col("n") > max_rows).isEmpty():
                 break
-        slices = cut_lineage(_slice_table(buckets, key, max_rows, halo))
-        return Timeline(
-            key,
-            tuple(order),
-            clock,
-            numeric_clock,
-            width,
-            slices,
-            slices.count() <= BROADCAST_ROWS,
-            halo,
-        )
+        return replace(plain, width=width, buckets=buckets, max_rows=max_rows)._sliced(halo, 0)
+
+    def _sliced(self, halo: int, span: int) -> Timeline:
+        slices = cut_lineage(_slice_table(self.buckets, self.key, self.max_rows, halo, -(-span // self.width)))
+        small = slices.count() <= BROADCAST_ROWS
+        return replace(self, slices=slices, small=small, halo=halo, span=span)
 
     @property
     def sliced(self) -> bool:
@@ -123,10 +121,14 @@ class Timeline:
 
     # -- use ------------------------------------------------------------------
 
-    def look_back(self, rows: int) -> None:
-        """Refuses a frame that looks further back than the slices' halo, instead of giving wrong rows."""
-        if self.sliced and rows > self.halo:
-            raise ValueError(f"a frame of {rows} earlier readings needs Timeline.of(..., halo={rows}); this one has {self.halo}")
+    def looking_back(self, rows: int = 0, micros: int = 0) -> Timeline:
+        """This timeline, or one whose slices reach back so many rows and microseconds more.
+
+        Only the slice table is made anew, from the stored counts of buckets; readings are not counted again.
+        """
+        if not self.sliced or (rows <= self.halo and micros <= self.span):
+            return self
+        return self._sliced(max(rows, self.halo), max(micros, self.span))
 
     def attach(self, readings: DataFrame) -> DataFrame:
         """Add slice columns; halo readings appear once more in each slice they precede."""
@@ -271,8 +273,11 @@ def _carries(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("_carry_")]
 
 
-def _slice_table(buckets: DataFrame, key: str, max_rows: int, halo: int) -> DataFrame:
-    """One row per bucket and slice it belongs to: its own, and those it is halo of."""
+def _slice_table(buckets: DataFrame, key: str, max_rows: int, halo: int, span: int = 0) -> DataFrame:
+    """One row per bucket and slice it belongs to: its own, and those it is halo of.
+
+    A bucket is halo of the slices that start within ``halo`` rows or ``span`` bucket widths behind it.
+    """
     by_time = W.partitionBy(key).orderBy(_BUCKET)
     machine = W.partitionBy(key)
     placed = (
@@ -294,9 +299,12 @@ def _slice_table(buckets: DataFrame, key: str, max_rows: int, halo: int) -> Data
     )
     # slices that start within `halo` rows after a bucket's end; never more than `halo`
     ahead = F.collect_list("_opens").over(by_rows.rangeBetween(0, halo - 1))
+    nearby = F.array().cast("array<bigint>")
+    if span:
+        nearby = F.collect_list("_opens").over(by_time.rangeBetween(1, span + 1))
     belongs = (
-        marked.withColumn("_ahead", ahead)
-        .withColumn("_halo_of", F.coalesce(F.lead("_ahead").over(by_rows), F.array()))
+        marked.withColumns({"_ahead": ahead, "_nearby": nearby})
+        .withColumn("_halo_of", F.array_union(F.coalesce(F.lead("_ahead").over(by_rows), F.array()), "_nearby"))
         .withColumn(
             "_member",
             F.explode(

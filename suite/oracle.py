@@ -929,6 +929,23 @@ ROLLING = _names("rolling", ("mean_", "std_", "max_", "min_"))
 feature_oracle("rolling_stats", ROLLING)
 feature_oracle("slope", _names("slope"))
 feature_oracle("acceleration", _names("acceleration"))
+_LONG = (f"(PARTITION BY well_id ORDER BY {ORDER} ROWS BETWEEN 479 PRECEDING AND CURRENT ROW)",
+         "(PARTITION BY well_id ORDER BY epoch_us(ts) RANGE BETWEEN 2592000000000 PRECEDING AND CURRENT ROW)")
+_STATISTICS = {"mean": "avg(#) OVER w", "std": "coalesce(stddev_samp(#) OVER w, 0e0)", "max": "max(#) OVER w", "min": "min(#) OVER w"}
+oracle(
+    "rolling_long",
+    "SELECT well_id, ts, "
+    + each(", ".join(f"{r6(e.replace('#', '@_deviation_pct'))} AS @_rolling_{s}_480h" for s, e in _STATISTICS.items()))
+    + f" FROM dev WINDOW w AS {_LONG[0]}",
+    "dev",
+)
+oracle(
+    "rolling_time",
+    "SELECT well_id, ts, count(*) OVER w AS readings, "
+    + each(", ".join(f"{r6(e.replace('#', '@_deviation_pct'))} AS @_deviation_pct_{s}" for s, e in _STATISTICS.items()))
+    + f" FROM dev WINDOW w AS {_LONG[1]}",
+    "dev",
+)
 CUMULATIVE = [f"{p}_cumulative_deviation" for p in PARAMETERS]
 feature_oracle("cumulative_deviation", CUMULATIVE)
 feature_oracle("hours_since_start", ["hours_since_start"])

@@ -890,6 +890,19 @@ def rolling_stats(g: Given) -> DataFrame:
     return _features(g, "_rolling_")
 
 
+@query
+def rolling_long(g: Given) -> DataFrame:
+    """A frame of 480 readings, put together from blocks."""
+    made = features.engineer_features(g.deviations, g.timeline, (35, 480))
+    return r6(made.select("well_id", "ts", *[c for c in made.columns if c.endswith("_480h") and "_rolling_" in c]))
+
+
+@query
+def rolling_time(g: Given) -> DataFrame:
+    """Statistics over the readings of the last 30 days, however many."""
+    return r6(features.rolling_time(g.deviations, g.timeline, 720.0).drop("reading_id"))
+
+
 @query
 def slope(g: Given) -> DataFrame:
     return _features(g, "_slope_")

@@ -1,11 +1,19 @@
 """Faults found by review: data that the given tables don't hold."""
 
+import random
+from datetime import datetime, timedelta
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from rotaflow.operators import fleet, status
+from rotaflow.operators import features, fleet, status
+from rotaflow.operators.status import DEVIATIONS
 from rotaflow.plans.medians import medians
 from rotaflow.plans.timeline import Timeline
+from suite.queries import Given
+
+START = datetime(2024, 1, 1)
 
 
 @pytest.mark.parametrize("max_rows", [10, 2_000_000])
@@ -16,12 +24,70 @@ def test_medians_ignore_what_is_no_number(spark, max_rows):
     assert {tuple(r) for r in found.collect()} == {("a", 51.0), ("b", 2.0)}
 
 
-def test_frames_longer_than_the_halo_are_refused(spark):
-    rows = spark.range(300).select(F.lit("a").alias("well_id"), F.col("id").alias("ts"), F.col("id").alias("reading_id"))
-    timeline = Timeline.of(rows, max_rows=50, halo=20, numeric_clock=True)
-    assert timeline.sliced
-    with pytest.raises(ValueError, match="halo=24"):
-        status.deviation_trend(rows, timeline, 24)
+def _history(spark, n=1400):
+    """Two machines at irregular times, one with repeated instants and gaps, and readings of no machine."""
+    rng = random.Random(3)
+    rows, at = [], START
+    for i in range(n):
+        at += timedelta(minutes=rng.choice([0, 7, 30, 60, 600]))
+        values = [None if rng.random() < 0.02 else rng.uniform(-20, 30) for _ in DEVIATIONS]
+        rows.append(("Well 1" if i % 4 else "Well 2", at, i, *values))
+    rows += [(None, START, 10_000 + i, 1.0, 1.0, 1.0, 1.0) for i in range(300)]
+    schema = "well_id string, ts timestamp_ntz, reading_id long, " + ", ".join(f"{d} double" for d in DEVIATIONS)
+    return spark.createDataFrame(rows, schema)
+
+
+def _in_sql(rows, statement):
+    readings = rows.where("well_id IS NOT NULL").toPandas()  # noqa: F841
+    return duckdb.sql(statement).fetchall()
+
+
+def _close(made, want):
+    assert len(made) == len(want)
+    for a, b in zip(made, want, strict=True):
+        for x, y in zip(a, b, strict=True):
+            assert (x is None or x != x) == (y is None or y != y) and (x is None or x == y or x == pytest.approx(y, abs=1e-7))
+
+
+@pytest.mark.parametrize("max_rows", [10**6, 150])
+def test_frames_of_any_length(spark, max_rows):
+    rows = _history(spark)
+    timeline = Timeline.of(rows, max_rows=max_rows, halo=20)
+    assert timeline.sliced == (max_rows == 150)
+    windows = (24, 100, 480, 5000)
+    made = features.engineer_features(rows, timeline, windows).orderBy("well_id", "ts", "reading_id")
+    names = [f"flow_rolling_{s}_{n}h" for n in windows for s in ("mean", "std", "max", "min")] + ["head_slope_480h"]
+    parts = []
+    for n in windows:
+        frame = f"(PARTITION BY well_id ORDER BY ts, reading_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        parts += [f"avg(flow_deviation_pct) OVER {frame}", f"CASE WHEN count(flow_deviation_pct) OVER {frame} > 1 THEN stddev_samp(flow_deviation_pct) OVER {frame} ELSE 0 END",
+                  f"max(flow_deviation_pct) OVER {frame}", f"min(flow_deviation_pct) OVER {frame}"]
+    slope = "coalesce((head_deviation_pct - lag(head_deviation_pct, 480) OVER (PARTITION BY well_id ORDER BY ts, reading_id)) / 480, 0)"
+    want = _in_sql(rows, f"SELECT well_id, reading_id, {', '.join(parts)}, {slope} FROM readings ORDER BY well_id, ts, reading_id")
+    _close([tuple(r) for r in made.select("well_id", "reading_id", *names).collect()], want)
+
+
+@pytest.mark.parametrize("max_rows", [10**6, 150])
+def test_frames_by_time(spark, max_rows):
+    rows = _history(spark)
+    timeline = Timeline.of(rows, max_rows=max_rows, halo=2)
+    made = features.rolling_time(rows, timeline, 24.0, ["flow_deviation_pct"]).orderBy("well_id", "ts", "reading_id")
+    frame = "(PARTITION BY well_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)"
+    c = "flow_deviation_pct"
+    want = _in_sql(rows, f"SELECT well_id, reading_id, count(*) OVER {frame}, avg({c}) OVER {frame}, coalesce(stddev_samp({c}) OVER {frame}, 0), max({c}) OVER {frame}, min({c}) OVER {frame} FROM readings ORDER BY well_id, ts, reading_id")
+    _close([tuple(r) for r in made.select("well_id", "reading_id", "readings", *[f"{c}_{s}" for s in ("mean", "std", "max", "min")]).collect()], want)
+
+
+def test_long_history_rules_are_the_same_with_slices(spark, folder):
+    given = Given(spark, folder)
+    plain, cut = Given(spark, folder), Given(spark, folder, max_rows=100)
+    cut.__dict__["timeline"] = Timeline.of(cut.telemetry, max_rows=100, halo=5)
+    for make in (
+        lambda g: status.analyse(g.telemetry, g.fleet, g.timeline, history_window=200).select("well_id", "ts", "reading_number", "sustained", "status"),
+        lambda g: status.deviation_trend(given.deviations, g.timeline, 300),
+    ):
+        assert make(plain).exceptAll(make(cut)).isEmpty()
+
 
 
 def test_rows_without_a_machine_are_not_hot(spark):
