@@ -994,6 +994,25 @@ oracle(
     "machines",
     "current",
 )
+oracle(
+    "incremental_status",
+    f"""SELECT s.well_id, s.ts, s.status, s.sustained, s.reading_number,
+        {", ".join(f"{r6('f.' + c)} AS {c}" for c in (
+            "flow_rolling_mean_168h", "head_slope_168h", "power_cumulative_deviation", "hours_since_start"))}
+    FROM status s JOIN features f USING (well_id, ts, l_orderkey, l_linenumber, l_partkey)""",
+    "status",
+    "features",
+)
+oracle(
+    "incremental_current_status",
+    f"""SELECT well_id, ts, coalesce(status, '{V.NO_ANALYSIS}') AS status, {each("@_first_exceeded")}
+    FROM machines LEFT JOIN current USING (well_id)
+    LEFT JOIN (SELECT well_id, {each("min(ts) FILTER (@_exceeded) AS @_first_exceeded")} FROM flags GROUP BY well_id)
+        USING (well_id)""",
+    "machines",
+    "current",
+    "flags",
+)
 oracle(
     "status_episodes",
     f"""SELECT well_id, episode, any_value(status) AS status, min(ts) AS start_ts,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from rotaflow.operators import (
     report,
     status,
 )
+from rotaflow.plans import carry
 from rotaflow.plans.timeline import MAX_ROWS, Timeline
 from rotaflow.session import fresh_path
 from rotaflow.sources import readers, warehouse, writers
@@ -1149,6 +1150,43 @@ def stream_outbox(g: Given) -> DataFrame:
     )
 
 
+# -- state carried from batch to batch ------------------------------------------------
+
+BATCHES = ("1900-01-01", "1996-06-01", "1999-01-01", "2000-01-01", "2001-01-01", "2200-01-01")
+
+
+def _advanced(g: Given) -> tuple[str, list[carry.Advanced]]:
+    """The history fed in five batches."""
+    path = g.path("carry")
+    made = []
+    for k, (low, high) in enumerate(zip(BATCHES, BATCHES[1:])):
+        part = g.telemetry.where(f"ts >= timestamp_ntz'{low}' AND ts < timestamp_ntz'{high}'")
+        made.append(carry.advance(part, g.fleet, path, k, g.max_rows))
+    return path, made
+
+
+@query
+def incremental_status(g: Given) -> DataFrame:
+    """Statuses and features of all readings, batch by batch."""
+    _, made = _advanced(g)
+    kept = ("flow_rolling_mean_168h", "head_slope_168h", "power_cumulative_deviation", "hours_since_start")
+    parts = [
+        a.classified.select("well_id", "ts", "reading_id", "status", "sustained", "reading_number").join(
+            a.features.select("well_id", "ts", "reading_id", *kept), ["well_id", "ts", "reading_id"]
+        )
+        for a in made
+    ]
+    return r6(reduce(DataFrame.unionByName, parts).drop("reading_id"))
+
+
+@query
+def incremental_current_status(g: Given) -> DataFrame:
+    """Newest status and first exceedances, from the carry table after the last batch."""
+    path, _ = _advanced(g)
+    state = carry.read_state(g.spark, path)
+    return carry.current_status(state, g.machines).join(carry.first_exceedance(state), "well_id", "left")
+
+
 # -- the edge run -------------------------------------------------------------------
 
 EDGE_FEATURES = ["recent_flow_mean"]
