@@ -422,6 +422,14 @@ oracle(
 OUTBOX = """SELECT site_id AS "siteId", 'unsent' AS delivery_status, count(*) AS anomalies,
     max(ts) AS newest_ts FROM edge JOIN sites USING (well_id) WHERE mask > 0 GROUP BY 1"""
 oracle("anomaly_outbox", OUTBOX, "edge", "sites")
+oracle(
+    "keyed_outbox",
+    """SELECT site_id AS "siteId", CASE pump_id % 3 WHEN 0 THEN 'sent' WHEN 1 THEN 'failed' ELSE 'unsent' END AS delivery_status,
+        count(*) AS anomalies
+    FROM (SELECT DISTINCT well_id, ts FROM edge WHERE mask > 0) JOIN sites USING (well_id) GROUP BY ALL""",
+    "edge",
+    "sites",
+)
 oracle("stream_outbox", OUTBOX, "edge", "sites")
 ALERTS = """(SELECT well_id, string_agg('- **' || upper(param[1]) || param[2:] ||
     '** (Mandatory): Alert at ' || CASE WHEN a >= 0 THEN '+' ELSE '' END ||
@@ -1087,6 +1095,12 @@ oracle(
     WHERE ts >= TIMESTAMP '2024-01-17' GROUP BY 1""",
     "log",
 )
+ORACLE["retention_store"] = ORACLE["result_retention"]
+oracle(
+    "anomaly_page_deep",
+    f"SELECT {LOG} FROM log ORDER BY ts DESC, id DESC LIMIT 30 OFFSET 400",
+    "log",
+)
 oracle(
     "union_readings",
     """SELECT well_id, count(*) AS readings, round(sum(flow), 4) + 0e0 AS flow_sum

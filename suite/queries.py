@@ -30,6 +30,8 @@ from rotaflow.plans import carry
 from rotaflow.plans.timeline import MAX_ROWS, Timeline
 from rotaflow.session import fresh_path
 from rotaflow.sources import readers, warehouse, writers
+from rotaflow.sources.log_store import DatedLog, RankedLog
+from rotaflow.sources.outbox import Outbox
 from rotaflow.streaming import live
 from rotaflow.streaming.edge import stream_decisions, stream_edge_features
 from rotaflow.streaming.edge import stream_edge_run as stream_edge_run_of
@@ -219,12 +221,33 @@ def read_curve_test(g: Given) -> DataFrame:
 
 @query
 def load_tolerances(g: Given) -> DataFrame:
-    return longs(fleet.machine_tolerances(g.fleet, g.tolerances)).drop("bidirectional")
+    """A tolerance file is written, read back and applied to the machines."""
+    path = g.path("tolerances")
+    cell = F.struct(
+        "mandatory",
+        F.coalesce("max_deviation", F.lit(V.NO_UPPER_LIMIT)).alias("max_deviation"),
+        F.coalesce("min_deviation", F.lit(V.NO_LOWER_LIMIT)).alias("min_deviation"),
+        "bidirectional",
+    )
+    entries = F.map_from_entries(F.collect_list(F.struct("param", cell)))
+    categories = g.tolerances.groupBy("category").agg(entries.alias("tolerances"))
+    category = F.struct("category", F.struct(F.col("category").alias("name"), "tolerances"))
+    writers.write_json(categories.agg(F.map_from_entries(F.collect_list(category)).alias("categories")), path)
+    tolerances = readers.load_tolerances(g.spark, path)
+    limits = fleet.fleet_limits(g.machines, tolerances)
+    return longs(fleet.machine_tolerances(limits, tolerances)).drop("bidirectional")
 
 
 @query
 def load_site_config(g: Given) -> DataFrame:
-    return readers.sensor_dimension(g.sites)
+    """Site files, one per site, are written and read back."""
+    path = g.path("sites")
+    files = g.sites.select(
+        F.struct("site_id", "pump_id", "sensor_ids").alias("site_info"),
+        F.struct(F.lit(True).alias("enabled")).alias("anomaly_reporting"),
+    )
+    files.write.option("maxRecordsPerFile", 1).json(path)
+    return readers.sensor_dimension(readers.load_site_config(g.spark, path))
 
 
 @query
@@ -1150,6 +1173,40 @@ def stream_outbox(g: Given) -> DataFrame:
     )
 
 
+# -- stored tables with maintenance -----------------------------------------------------
+
+
+@query
+def keyed_outbox(g: Given) -> DataFrame:
+    """Two runs over the same anomalies, then deliveries: some arrive, some fail."""
+    payloads = anomalies.anomaly_payload(g.scored.where("mask > 0"), g.sites)
+    box = Outbox(g.spark, g.path("keyed-outbox"), payloads.schema, buckets=8)
+    box.add(payloads.where("ts < timestamp_ntz'1999-01-01'"))
+    box.add(payloads)
+    outcome = F.when(F.col("pumpId") % 3 == 0, "sent").when(F.col("pumpId") % 3 == 1, "failed")
+    box.mark(payloads.select("well_id", "ts", outcome.alias("delivery_status")).where("delivery_status IS NOT NULL"))
+    return box.read().groupBy("siteId", "delivery_status").agg(F.count("*").alias("anomalies"))
+
+
+@query
+def retention_store(g: Given) -> DataFrame:
+    """Retention of a stored log: whole days go, one day is written anew."""
+    log = g.log.drop("cameraId")
+    store = DatedLog(g.spark, g.path("dated-log"), log.schema)
+    store.append(log)
+    store.retain(EVENT_NOW, 14)
+    return store.read().groupBy("siteId").agg(F.count("*").alias("anomalies"), F.min("ts").alias("oldest_ts"))
+
+
+@query
+def anomaly_page_deep(g: Given) -> DataFrame:
+    """A page far from the newest, from the ranges that hold its ranks."""
+    log = g.log.drop("cameraId")
+    store = RankedLog(g.spark, g.path("ranked-log"), log.schema)
+    store.build(log, 16)
+    return store.page(skip=400, take=30)
+
+
 # -- state carried from batch to batch ------------------------------------------------
 
 BATCHES = ("1900-01-01", "1996-06-01", "1999-01-01", "2000-01-01", "2001-01-01", "2200-01-01")
