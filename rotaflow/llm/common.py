@@ -163,6 +163,13 @@ def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores more as keep it apart from the names taken (in any case)."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def tokenizer(name: str) -> str:
     """Path of an installed public vocabulary file."""
     import public_tokenizers

@@ -5,7 +5,7 @@ declared monotone, and are flattened to arrays of nodes, so that a batch of docu
 trees level by level without a Python loop over documents.
 
 Null texts count as empty (no words, hence ``base_failed``); a null ``doc_id`` is kept as it is; repeated
-rows are judged each. Without usable labels (none, or of one class) the verdict is "kept".
+rows are judged each; an empty table gives no rows; other columns of any name stay. Without usable labels (none, or of one class) the verdict is "kept".
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from rotaflow.llm.common import Words, column, mix, slices, span_hashes, windows, words_of
 
@@ -183,12 +184,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Trees for the label ``quality``, fitted on at most ``sample_rows`` labelled rows; None without both classes.
 
     The labels are thinned first (their doc_id and class, at most ``sample_rows`` rows, are broadcast), so texts are
-    not shuffled. Labels with nulls are left out; of contradicting labels of one document the worse counts.
+    not shuffled but for those. Labels with nulls are left out; of contradicting labels of one document the worse counts, and of texts that share a
+    ``doc_id`` the one of the smallest hash.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
-    rows = rows.mapInArrow(_feature_rows, "y double, x array<double>").limit(2 * sample_rows).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    first = F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text")).alias("first")  # of repeated ids one text, whatever the order of rows
+    rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), first).select("first.text", "y")
+    rows = rows.mapInArrow(_feature_rows, "y double, x array<double>").toPandas()
     y = rows["y"].to_numpy()
     if len(set(y > 0)) < 2:
         return None
@@ -203,18 +207,21 @@ def judge(docs: DataFrame, trees: Trees | None, least_words: int = 10, repeat_pe
     A column that has the name ``into`` already is replaced.
     """
     docs = docs.drop(into)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # Spark's Python functions take no names with back-ticks
+    text, verdict_name = f"c{names.index('text')}", "verdict"
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                s = statistics(column(part, "text"))
+            for part in slices(batch, text):
+                s = statistics(column(part, text))
                 failed = (s["n_words"] < least_words) | (100 * s["n_repeat_words"] > repeat_percent * s["n_words"])
                 score = trees.score(s["features"]) if trees else np.zeros(len(failed))
-                names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-                found = [pa.array(s[n].astype(np.int64)) for n in names] + [pa.array(score), pa.array(failed), pa.array(~failed & (score >= 0))]
-                struct = pa.StructArray.from_arrays(found, [*names, "score", "base_failed", "kept"])
-                yield pa.RecordBatch.from_arrays([*part.columns, struct], [*part.schema.names, into])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    counts = "n_words: bigint, word_chars: bigint, n_symbols: bigint, n_dup_lines: bigint, n_repeat_words: bigint"
-    return docs.mapInArrow(run, f"{fields}, `{into}` struct<{counts}, score: double, base_failed: boolean, kept: boolean>")
+                counted = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+                found = [pa.array(s[n].astype(np.int64)) for n in counted] + [pa.array(score), pa.array(failed), pa.array(~failed & (score >= 0))]
+                struct = pa.StructArray.from_arrays(found, [*counted, "score", "base_failed", "kept"])
+                yield pa.RecordBatch.from_arrays([*part.columns, struct], [*part.schema.names, verdict_name])
+
+    counts = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
+    verdict = StructType.fromDDL(f"{counts}, score double, base_failed boolean, kept boolean")
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField(verdict_name, verdict)])).toDF(*names, into)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotaflow.llm.common import GOLD, Words, buffer_of, column, mix, pack_texts, release, sized_slices, slices, stored, unpack_texts, windows, words_of
+from rotaflow.llm.common import GOLD, Words, buffer_of, column, mix, pack_texts, quoted, release, sized_slices, slices, stored, unpack_texts, unused, windows, words_of
 from rotaflow.llm.fm_index import FmIndex
 
 ANCHOR = 6  # words whose hashes anchor a segment
@@ -291,14 +291,15 @@ def cleaned_documents(docs: DataFrame, window: int = 20) -> DataFrame:
     ``n_chars``, if there is such a column, is counted anew for changed texts.
     """
     found = deduplicate(docs, window).where("n_removed > 0")
-    changes = found.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.col("kept_text").alias("_kept")).distinct()
+    own, same, kept = (unused(docs.columns, n) for n in ("_id", "_content", "_kept"))
+    changes = found.select(F.col("doc_id").alias(own), F.col("content").alias(same), F.col("kept_text").alias(kept)).distinct()
     changes = stored(changes, "changes")
     release(found)
     content = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    out = docs.join(changes, (content == F.col("_content")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    text = F.when(F.col("_content").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
+    out = docs.join(changes, (content == F.col(same)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left")
+    text = F.when(F.col(same).isNotNull(), F.col(kept)).otherwise(F.col("text"))
     new = {"text": text}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("_content").isNotNull(), F.length("_kept").cast(kind)).otherwise(F.col("n_chars"))
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(F.col(same).isNotNull(), F.length(kept).cast(kind)).otherwise(F.col("n_chars"))
+    return out.select(*[new[c].alias(c) if c in new else quoted(c) for c in docs.columns])
