@@ -7,9 +7,10 @@ documents; the last returns a row per packed piece. ``run`` stores what a stage
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rotaflow.llm import minhash, packing, quality, substring
-from rotaflow.llm.common import stored, tokenizer
+from rotaflow.llm.common import quoted, stored, tokenizer, unused
 from rotaflow.session import tune
 
 ORACLE_SQL = None  # the trees and the token ids are not expressible in SQL; tests hold each stage against brute force
@@ -19,7 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that fail the base rules or that the trees, fitted on the labels, reject go."""
     tune(spark)
     trees = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judge(docs, trees, into="_verdict").where("_verdict.kept").select(*docs.columns)
+    verdict = unused(docs.columns, "_verdict")
+    return quality.judge(docs, trees, into=verdict).where(F.col(verdict)["kept"]).select(*[quoted(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
