@@ -4,12 +4,14 @@ Turns are numbered in their conversation, and the rolling hash of a prefix is th
 parts of SHA-256 of (position, role, text), kept exactly as decimals. A conversation whose whole hash is the prefix
 hash of a longer one is dropped by an anti-join; of equal conversations the smallest ``conv_id`` stays.
 
-All of it is built-in expressions, joins and windows. Running numbers and sums are made in two levels (within blocks
-of ``BLOCK`` turn numbers, then over blocks), so one endless conversation is spread over many tasks.
+All of it is built-in expressions, joins and windows. Running numbers and sums are made in two levels, within blocks and then over the blocks of
+a conversation. Blocks are cut by Spark's range partitioning on (conversation, turn, role, text), so they hold about equally many rows whatever the
+turn numbers are, and one endless conversation, also one without any turn numbers, is spread over many tasks.
 The result has a row per turn, with its place in the conversation's text, since a conversation may be larger than a cell can be.
 
 Null roles and texts are empty, null turns come first, null ``conv_id`` rows form one conversation. A turn that is repeated
 exactly (same conversation, number, role and text) counts once; different turns of one number are ordered by role and text.
+An empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from pyspark.sql import functions as F
 
 from rotaflow.llm.common import stored
 
-BLOCK = 1024
 # The markup of a turn: fixed values of the format.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -39,7 +40,9 @@ def _running(turns: DataFrame, sums: dict[str, str]) -> DataFrame:
 def hashed_turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, position (from 1) and the prefix hash (h1, h2) of each turn."""
     turns = conversations.select("conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
-    turns = turns.distinct().withColumns({"block": F.floor(F.col("turn") / BLOCK), "one": F.lit(1).cast("long")})
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    placed = turns.distinct().repartitionByRange(*order).withColumn("block", F.spark_partition_id())
+    turns = stored(placed, "placed-turns").withColumn("one", F.lit(1).cast("long"))
     turns = _running(turns, {"position": "one"})
     digest = F.sha2(F.concat_ws("\0", F.col("position").cast("string"), F.octet_length("role").cast("string"), "role", "text"), 256)
     part = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")

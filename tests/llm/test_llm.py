@@ -220,6 +220,34 @@ def test_chat_keeps_maximal_conversations(spark):
         assert [r["place"] for r in own] == [sum(len(x["piece"]) for x in own[:i]) for i in range(len(own))]
 
 
+@pytest.mark.parametrize("parts", [2, 30])
+def test_chat_of_awkward_rows(spark, parts):
+    """Null turns, several turns of one number, and columns with inner names; blocks of a few rows or of all."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    rng, rows = random.Random(7), []
+    for conv in (1, 2, None):
+        rows += [(conv, rng.choice([None, 0, 5, 5, 7000 * i]), rng.choice(["user", None]), f"t{rng.randrange(40)}") for i in range(50)]
+    rows += [(9, *r[1:]) for r in rows if r[0] == 1] + rows[:3]
+    want = {}
+    for c in (1, 2, 9, None):
+        own = {(t is not None, t or 0, role or "", text or "") for conv, t, role, text in rows if conv == c}
+        want[c] = [(role, text) for *_, role, text in sorted(own)]
+    for k, v in (("spark.sql.shuffle.partitions", parts), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(k, v)
+    try:
+        table = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "conv_id bigint, turn bigint, role string, text string, block string, one int, h1 int")
+        found = chat.render(table).collect()
+        assert chat.render(table.where("conv_id = -1")).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["conv_id"] for r in found} == {1, 2, None}  # 9 equals 1
+    for c in (1, 2, None):
+        own = sorted((r for r in found if r["conv_id"] == c), key=lambda r: r["position"])
+        assert [r["piece"] for r in own] == [f"<|im_start|>{role}\n{text}<|im_end|>\n" for role, text in want[c]]
+        assert [r["place"] for r in own] == [sum(len(x["piece"]) for x in own[:i]) for i in range(len(own))]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     vectors = [v.tolist() for v in rng.normal(size=(400, 8)).astype("float32")]
