@@ -143,6 +143,23 @@ def test_debounce(spark, max_rows, reset, bypass):
     )
 
 
+@pytest.mark.parametrize("reset, bypass", [(False, False), (True, True)])
+@pytest.mark.parametrize("masks", [(1,), (1, 2, 3, 8, 12)])
+def test_debounce_of_a_chain_without_pauses(spark, monkeypatch, masks, reset, bypass):
+    """An alarm a minute, for ever in step, so states never coincide; and mixed ones, whose reports overlap."""
+    rng = random.Random(2)
+    rows = [("Well 1", START + timedelta(minutes=i if len(masks) == 1 else i + i % 3), i, rng.choice(masks), rng.randint(1, 3)) for i in range(3000)]
+    if reset:
+        rows[1500] = (*rows[1500][:3], 0, 0)
+    rows += [("Well 2", START + timedelta(minutes=70 * i), 5000 + i, 1, 1) for i in range(300)]
+    frame = alarm_frame(spark, rows).repartition(4)
+    timeline = Timeline.of(frame, max_rows=200)
+    assert timeline.sliced
+    made = debounce(frame, timeline, 60, reset, bypass).collect()
+    assert {r["reading_id"]: r["blocked_by"] for r in made} == brute_debounce(rows, 60, reset, bypass)
+    assert len(made) == sum(1 for r in rows if r[3])
+
+
 def test_stream_debounce_over_many_batches(spark, tmp_path):
     """State carries over micro-batches: 4 files, one per batch, and a last one that ends the stream."""
     rows = alarm_rows(9)
