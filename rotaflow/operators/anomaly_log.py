@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ def date_bounds(
 ) -> tuple[str | None, str | None]:
     """ISO bounds; ``days_back`` overrides both, plain dates mean midnight."""
     if days_back:
-        until = now or datetime.utcnow()
+        until = now or datetime.now(timezone.utc).replace(tzinfo=None)
         return (until - timedelta(days=days_back)).isoformat(), until.isoformat()
 
     def whole(value: str | None) -> str | None:
@@ -80,6 +80,8 @@ def anomaly_page(
     if after is not None:
         ts, last_id = F.lit(after[0]).cast("timestamp_ntz"), after[1]
         key, bound = F.struct("ts", "id"), F.struct(ts.alias("ts"), F.lit(last_id).alias("id"))
+        # the bound on the time alone reaches the scan; ties are told apart behind it
+        found = found.where(F.col("ts") >= ts if direction == "asc" else F.col("ts") <= ts)
         found = found.where(key > bound if direction == "asc" else key < bound)
         return found.orderBy(*_order(direction)).limit(size)
     offset = skip if skip is not None else (page - 1) * size

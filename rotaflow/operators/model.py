@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 from statistics import NormalDist
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,11 +170,6 @@ def contributing_factors(names: Sequence[str], weights: Sequence[float], k: int
     return F.transform(F.slice(ranked, 1, k), lambda e: e["name"])
 
 
-def scaled_values(model: PipelineModel, features: DataFrame):
-    """Scaled features as an array column, for checks of the scaler."""
-    return vector_to_array(F.col("scaled"))
-
-
 def save_model(trained: Trained, path: str, model_type: str, name: str) -> None:
     """Pipeline, ordered feature names, metrics, importances and metadata under ``path``."""
     trained.model.write().overwrite().save(f"{path}/pipeline")
@@ -198,7 +192,7 @@ def model_metadata(
 ) -> DataFrame:
     """One row describing a saved model."""
     return spark.createDataFrame(
-        [(version, name, datetime.utcnow(), model_type, V.FRAMEWORK)],
+        [(version, name, datetime.now(timezone.utc).replace(tzinfo=None), model_type, V.FRAMEWORK)],
         "version string, pump_name string, created_at timestamp_ntz, model_type string, "
         "framework string",
     )

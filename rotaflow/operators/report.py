@@ -9,7 +9,7 @@ from rotaflow import fixed_values as V
 from rotaflow.fixed_values import PARAMETERS
 from rotaflow.functions import rules
 from rotaflow.operators.fleet import early_warning_thresholds
-from rotaflow.operators.status import analysis_period, recommendations
+from rotaflow.operators.status import recommendations
 
 
 def _position():
@@ -25,45 +25,37 @@ def _lines(rows: DataFrame, text, name: str) -> DataFrame:
 
 
 def exceedance_text(details: DataFrame) -> DataFrame:
-    upper, lower = F.col("max_deviation"), F.col("min_deviation")
-    limits = F.when(
-        upper == -lower, F.format_string("- Threshold: ±%.0f%%", upper)
-    ).otherwise(
-        F.concat_ws(
-            "\n",
-            F.when(upper.isNotNull(), F.format_string("- Threshold: +%.0f%%", upper)),
-            F.when(lower.isNotNull(), F.format_string("- Threshold: %.0f%%", lower)),
-        )
-    )
+    """A paragraph per parameter that has left its limits: since when, what is allowed, how far off it was."""
+    sides = [F.when(F.col(c).isNotNull(), F.format_string("%+.0f%%", c)) for c in ("min_deviation", "max_deviation")]
     text = F.concat_ws(
         "\n",
-        F.concat(F.lit("**"), rules.title_of(F.col("param")), F.lit(":**")),
-        F.concat(
-            F.lit("- First exceeded on: "), F.date_format("first_exceeded", "yyyy-MM-dd HH:mm:ss")
-        ),
-        F.format_string("- Baseline: %.2f", "baseline"),
-        limits,
-        F.format_string("- Deviation at first exceedance: %+.2f%%\n", "deviation"),
+        F.concat(F.lit("**"), rules.title_of(F.col("param")), F.lit("**")),
+        F.concat(F.lit("- outside its limits from "), F.date_format("first_exceeded", "yyyy-MM-dd HH:mm:ss")),
+        F.concat(F.lit("- allowed: "), F.concat_ws(" to ", *sides), F.format_string(" of %.2f", "baseline")),
+        F.format_string("- was off by %+.2f%% then\n", "deviation"),
     )
     return _lines(details, text, "exceedances")
 
 
 def warning_text(fleet: DataFrame, tolerances: DataFrame) -> DataFrame:
-    text = F.format_string(
-        "- **%s** (Mandatory): Alert at %+.1f%%", rules.title_of(F.col("param")), "alert_at"
-    )
+    text = F.format_string("- %s: warn from %+.1f%% on", rules.title_of(F.col("param")), "alert_at")
     return _lines(early_warning_thresholds(fleet, tolerances), text, "alerts")
 
 
-def distribution_text(classified: DataFrame) -> DataFrame:
+def history_text(classified: DataFrame) -> DataFrame:
+    """Period and status table of each machine, from one aggregation."""
     counts = classified.groupBy("well_id").agg(
-        F.count("*").alias("n"), *[F.count_if(F.col("status") == s).alias(s) for s in V.STATUSES]
+        F.count("*").alias("n"),
+        F.min("ts").alias("start_ts"),
+        F.max("ts").alias("end_ts"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in V.STATUSES],
     )
     rows = [
-        F.format_string(f"| {s} | %d | %.1f%% |", s, F.col(s) * 100.0 / F.col("n"))
+        F.format_string(f"| {s} | %d | %.1f %% |", s, F.col(s) * 100.0 / F.col("n"))
         for s in V.STATUSES
     ]
-    return counts.select("well_id", F.concat_ws("\n", *rows).alias("distribution"))
+    days = F.timestamp_diff("DAY", F.col("start_ts"), F.col("end_ts")).alias("days")
+    return counts.select("well_id", F.concat_ws("\n", *rows).alias("distribution"), "start_ts", "end_ts", days)
 
 
 def report_tables(
@@ -84,8 +76,7 @@ def report_tables(
     parts = [
         advice,
         exceedance_text(details),
-        distribution_text(classified),
-        analysis_period(classified),
+        history_text(classified),
         warning_text(fleet, tolerances),
     ]
     out = fleet.select("well_id", "pump_type", "horsepower", "application", "category")
@@ -106,40 +97,32 @@ def render_reports(
     known = F.coalesce("current_status", F.lit(V.NO_ANALYSIS))
     bullet = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
     period = F.format_string(
-        "**Analysis Period:** %s to %s (%d days)",
+        "Readings from %s to %s (%d days):\n",
         F.date_format("start_ts", "yyyy-MM-dd"),
         F.date_format("end_ts", "yyyy-MM-dd"),
         "days",
     )
-    none = "*No tolerance exceedances detected in the operational data.*\n"
     sections = [
-        F.format_string("# Pump Failure Analysis Report: %s\n", "well_id"),
-        F.lit("## Executive Summary\n"),
-        F.format_string(
-            "%s: a %s pump rated at %.1f HP in %s service.\n",
-            "well_id", "pump_type", "horsepower", "application",
-        ),
-        F.concat(F.lit("**Tolerance Category:** "), F.coalesce("category", F.lit("unknown"))),
-        F.concat(F.lit("**Current Status:** "), known, F.lit("\n")),
-        F.lit("## Timeline of Events\n\n### First Tolerance Exceedances\n"),
-        F.coalesce("exceedances", F.lit(none)),
-        F.lit("### Status Distribution\n\n| Status | Count | Percentage |"),
-        F.lit("|--------|-------|------------|"),
+        F.format_string("# Condition of %s\n", "well_id"),
+        F.format_string("%s pump of %.1f hp, used for: %s", "pump_type", "horsepower", "application"),
+        F.concat(F.lit("Judged by category "), F.coalesce("category", F.lit("unknown"))),
+        F.concat(F.lit("Status now: **"), known, F.lit("**\n")),
+        F.lit("## Limits that were left\n"),
+        F.coalesce("exceedances", F.lit("None: all parameters stayed within their limits.\n")),
+        F.lit("## Status of all readings\n"),
+        period,
+        F.lit("| Status | Readings | Share |\n|---|---|---|"),
         F.col("distribution"),
-        F.concat(F.lit("\n"), period, F.lit("\n")),
     ]
     if trained:
-        sections.append(
-            F.lit("## Predictive Analysis\n\nA model was trained; see its metrics table.\n")
-        )
+        sections.append(F.lit("\n## Model\n\nA model of the remaining life was trained; its errors are in the metrics table."))
     sections += [
-        F.lit("## Recommendations\n\n### 1. Monitoring Frequency"),
-        F.format_string("- **Current Status:** %s - Monitor **%s**", "monitoring_level", "monitor_every"),
+        F.lit("\n## Next steps\n"),
+        F.format_string("- look at it %s (%s)", "monitor_every", "monitoring_level"),
         bullet(F.col("watch")),
-        F.lit("\n### 2. Early Warning Thresholds"),
-        F.col("alerts"),
-        F.lit("\n### 3. Maintenance Actions"),
         bullet(F.col("actions")),
+        F.lit("\n## Early warnings of mandatory parameters\n"),
+        F.col("alerts"),
     ]
     tables = report_tables(fleet, tolerances, current, details, classified)
     return tables.select("well_id", F.concat_ws("\n", *sections).alias("report"))

@@ -188,7 +188,7 @@ class Timeline:
     def with_carry(self, attached: DataFrame, sums=(), lasts=()) -> DataFrame:
         """Add per-slice totals (``sums``) or last values (``lasts``) of earlier slices.
 
-        The carry table has one row per slice of a hot machine, so it is small.
+        The carry table has one row per slice of a hot machine, no more than the slice table.
         """
         if not self.sliced:
             return attached
@@ -212,7 +212,7 @@ class Timeline:
             *[F.sum(f"_carry_{c}").over(before).alias(f"_carry_{c}") for c in sums],
             *[F.last(f"_carry_{c}", True).over(before).alias(f"_carry_{c}") for c in lasts],
         )
-        return attached.join(F.broadcast(carry), [self.key, _SLICE], "left")
+        return attached.join(F.broadcast(carry) if self.small else carry, [self.key, _SLICE], "left")
 
     def running_sum(self, name: str) -> Column:
         """Sum of ``name`` from the machine's first reading on; needs ``with_carry``."""

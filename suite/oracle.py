@@ -431,9 +431,9 @@ oracle(
     "sites",
 )
 oracle("stream_outbox", OUTBOX, "edge", "sites")
-ALERTS = """(SELECT well_id, string_agg('- **' || upper(param[1]) || param[2:] ||
-    '** (Mandatory): Alert at ' || CASE WHEN a >= 0 THEN '+' ELSE '' END ||
-    a::DECIMAL(9,1)::VARCHAR || '%', chr(10) ORDER BY pos) AS alerts
+ALERTS = """(SELECT well_id, string_agg('- ' || upper(param[1]) || param[2:] ||
+    ': warn from ' || CASE WHEN a >= 0 THEN '+' ELSE '' END ||
+    a::DECIMAL(9,1)::VARCHAR || '% on', chr(10) ORDER BY pos) AS alerts
     FROM (SELECT well_id, param, pos, coalesce(max_deviation / 2, min_deviation / 2) AS a
           FROM registry JOIN tol USING (category) WHERE mandatory) GROUP BY well_id)"""
 oracle(

@@ -667,10 +667,6 @@ def _dirty(g: Given) -> DataFrame:
     )
 
 
-def _checked(df: DataFrame, rule: str) -> DataFrame:
-    return df.where(F.col("rule") == rule)
-
-
 @query
 def dq_required_columns(g: Given) -> DataFrame:
     quality.required_columns(g.telemetry, ["well_id", "ts", *quality.SENSORS])
@@ -1351,6 +1347,6 @@ def save_load_model(g: Given) -> DataFrame:
     model.save_model(model.train_rul(_split(g), model_type="linear"), path, "linear", "fleet")
     loaded, names = model.load_model(g.spark, path)
     scored = model.predict_rul(loaded, status.latest_reading(g.labelled), names)
-    metadata = g.spark.read.parquet(f"{path}/metadata").select("version", "model_type", "framework")
+    told = g.spark.read.parquet(f"{path}/metadata").select("version", "model_type", "framework").first()
     kept = scored.select("well_id", "ts", "rul_days", "rul_lower", "rul_upper")
-    return r6(kept.crossJoin(F.broadcast(metadata)))
+    return r6(kept.withColumns({name: F.lit(told[name]) for name in told.asDict()}))

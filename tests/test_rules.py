@@ -67,10 +67,10 @@ def test_template_readings(spark):
     assert first["efficiency_first_exceeded"] == START
     assert first["flow_first_exceeded"] is None
     report = monitor.report().first()["report"]
-    assert "**Current Status:** Warning" in report
-    assert "| Warning | 5 | 100.0% |" in report
-    assert "- **Flow** (Mandatory): Alert at +5.0%" in report
-    assert "- Deviation at first exceedance: -0.35%" in report
+    assert "Status now: **Warning**" in report
+    assert "| Warning | 5 | 100.0 % |" in report
+    assert "- Flow: warn from +5.0% on" in report
+    assert "- was off by -0.35% then" in report
 
 
 @pytest.mark.parametrize(
