@@ -123,6 +123,23 @@ ORACLE: dict[str, str] = {
                CAST(COALESCE(SUM(LENGTH(piece)) OVER (PARTITION BY conv_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
         FROM r
     """,
+    # all lists are visited at the size of the comparison, so what is found is exact
+    "op3_ann": r"""
+        WITH v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+              AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, p.vec_id, list_transform(list_zip(q.x, p.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])) AS squares
+            FROM v q JOIN v p ON q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id
+        ), t AS (  -- eight running sums, added in pairs
+            SELECT query_id, vec_id, list_transform(range(1, 9), lambda j: list_reduce(list_slice(squares, j, len(squares), 8), lambda a, b: a + b)) AS r FROM s
+        ), d AS (
+            SELECT query_id, vec_id, sqrt(((r[1] + r[2]) + (r[3] + r[4])) + ((r[5] + r[6]) + (r[7] + r[8]))) AS score FROM t
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10
+    """,
     "op7_minhash": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
