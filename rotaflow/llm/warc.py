@@ -7,6 +7,7 @@ Writer: one gzip member per record. Of rows with equal payloads of at least ``le
 Reader: the files are divided into byte ranges, a task each. A task looks for gzip magic in its range, accepts a
 candidate if its member decodes to a WARC header, decodes to the end with a right checksum, and is followed by another
 member or the end of the file; it owns the records that start inside its range, and reads beyond it to finish the last.
+A damaged member is passed over, and reading goes on behind it; ``rejected_spans`` tells which bytes of which file were passed over.
 
 Null html is an empty payload, null url an empty target, null page_id is left out of the record and read back as null;
 control characters and blanks of a url are percent-encoded. An empty table gives no records.
@@ -20,7 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rotaflow.llm.common import column, slices, stored
@@ -183,6 +184,68 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     return ranges.mapInArrow(run, "path string, place bigint, headers map<string,string>, block binary")
 
 
+def covered_spans(file, size: int, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Start and end of the members that start in [start, end): records, and empty members as fill a separator."""
+    at = start
+    for place, _, _ in owned_records(file, size, start, end):
+        w = _Window(file, place, size)
+        yield from _empty_members(file, at, place)
+        at = _member(w, place)[1]
+        yield place, at
+    yield from _empty_members(file, at, end)
+
+
+def _empty_members(file, start: int, end: int) -> Iterator[tuple[int, int]]:
+    if end - start >= len(EMPTY_MEMBER):
+        file.seek(start)
+        held, at = file.read(min(end - start, READ_BYTES)), 0
+        while (at := held.find(EMPTY_MEMBER, at)) >= 0:
+            yield start + at, start + at + len(EMPTY_MEMBER)
+            at += len(EMPTY_MEMBER)
+
+
+def rejected_spans(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path, start and end of all bytes that belong to no valid member: damaged records, and anything else that ``read_archives`` passes over.
+
+    Each range reports where its members begin and end; what is missing between ranges follows from the rows of a file's ranges, a few
+    per file. An archive without damage has no row.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    ranges = files.select("path", "length", F.explode(F.expr(f"sequence(0L, length - 1, {range_bytes}L)")).alias("start"))
+    ranges = ranges.repartition("path", "start")
+
+    def run(batches):
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                system, place = FileSystem.from_uri(row["path"])
+                with system.open_input_file(place) as file:
+                    first, last, gaps = None, None, []
+                    for a, b in covered_spans(file, row["length"], row["start"], min(row["length"], row["start"] + range_bytes)):
+                        if last is not None and a > last:
+                            gaps.append({"start": last, "end": a})
+                        first, last = a if first is None else first, b if last is None else max(b, last)
+                rows.append((row["path"], row["length"], row["start"], first, last, gaps))
+            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), span]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["path", "length", "start", "first", "last", "gaps"])
+
+    shape = "path string, length bigint, start bigint, first bigint, last bigint, gaps array<struct<start: bigint, end: bigint>>"
+    found = ranges.mapInArrow(run, shape)
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("last").over(before), F.lit(0).cast("long"))
+    ends = F.max(F.struct("start", F.greatest(F.coalesce("last", F.lit(0).cast("long")), "reached").alias("last"), "length")).alias("e")
+    found = stored(found.withColumn("reached", reached), "member-ends")
+    inside = found.select("path", F.explode("gaps").alias("g")).select("path", "g.start", "g.end")
+    between = found.where("first > reached").select("path", F.col("reached").alias("start"), F.col("first").alias("end"))
+    behind = found.groupBy("path").agg(ends).where("e.last < e.length").select("path", F.col("e.last").alias("start"), F.col("e.length").alias("end"))
+    return inside.unionByName(between).unionByName(behind)
+
+
 def _batch(rows: list) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[], [], [], []]
     kinds = [pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
