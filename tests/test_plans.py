@@ -164,7 +164,8 @@ def test_stream_debounce_over_many_batches(spark, tmp_path):
     """State carries over micro-batches: 4 files, one per batch, and a last one that ends the stream."""
     rows = alarm_rows(9)
     source = str(tmp_path / "in")
-    end = ("end", START + timedelta(days=9999), 0, 0, 0)
+    # an alarm: Spark filters Normal readings before the watermark, so they do not move it
+    end = ("end", START + timedelta(days=9999), 99_999, 1, 1)
     for part in (*(rows[i : i + 100] for i in range(0, len(rows), 100)), [end]):
         alarm_frame(spark, part).coalesce(1).write.mode("append").parquet(source)
     stream = (
