@@ -10,7 +10,7 @@ SLICED = [
     "classify_status", "sustained_violation", "engineer_features", "deviation_trend", "ffill",
     "chronological_split", "status_episodes", "latest_24_stats", "first_n_per_pump",
     "debounce_anomalies", "debounce_documented", "dq_monotonic", "flow_from_current",
-    "baseline_from_curve_test",
+    "baseline_from_curve_test", "rolling_long", "rolling_time", "edge_run", "incremental_status",
 ]
 
 
