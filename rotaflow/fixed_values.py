@@ -131,6 +131,16 @@ RETENTION_DAYS = 30
 REPORT_PROBABILITY_ABOVE = 0.7
 REPORT_RUL_BELOW = 7.0
 SOURCE_TYPES = ("log", "vision")
+DESCRIPTION_PREFIX = "Pump anomaly detected - "
+REASONS = {
+    "normal": "Status is Normal",
+    "debounced": "Recently reported %s anomaly (%.1f min ago)",
+    "mandatory": "Mandatory parameter exceeded",
+    "status": "Status is ",
+    "prediction": "High confidence failure prediction",
+    "warning": "Warning status",
+    "none": "No reporting criteria met",
+}
 MODEL_NAME = "pump-anomaly-detector"
 MODEL_VERSION = "1.0.0"
 FRAMEWORK = "spark-ml"

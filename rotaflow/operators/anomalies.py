@@ -86,21 +86,16 @@ def report_decision(decided: DataFrame) -> DataFrame:
     )
     debounced = F.col("blocked_by").isNotNull()
     reason = (
-        F.when(F.col("status") == "Normal", "Status is Normal")
-        .when(
-            debounced,
-            F.format_string(
-                "Recently reported %s anomaly (%.1f min ago)", "blocked_by", "elapsed_minutes"
-            ),
-        )
-        .when(F.col("mandatory_exceeded"), "Mandatory parameter exceeded")
+        F.when(F.col("status") == "Normal", V.REASONS["normal"])
+        .when(debounced, F.format_string(V.REASONS["debounced"], "blocked_by", "elapsed_minutes"))
+        .when(F.col("mandatory_exceeded"), V.REASONS["mandatory"])
         .when(
             F.col("status").isin("Critical", "Failure"),
-            F.concat(F.lit("Status is "), F.col("status")),
+            F.concat(F.lit(V.REASONS["status"]), F.col("status")),
         )
-        .when(F.coalesce(likely, F.lit(False)), "High confidence failure prediction")
-        .when(F.col("status") == "Warning", "Warning status")
-        .otherwise("No reporting criteria met")
+        .when(F.coalesce(likely, F.lit(False)), V.REASONS["prediction"])
+        .when(F.col("status") == "Warning", V.REASONS["warning"])
+        .otherwise(V.REASONS["none"])
     )
     report = (F.col("status") != "Normal") & ~debounced
     return decided.withColumns({"report": report, "reason": reason})
@@ -166,7 +161,7 @@ def anomaly_payload(
         "well_id",
         "ts",
         F.lit("log").alias("sourceType"),
-        F.concat(F.lit("Pump anomaly detected - "), F.concat_ws(", ", *texts)).alias("description"),
+        F.concat(F.lit(V.DESCRIPTION_PREFIX), F.concat_ws(", ", *texts)).alias("description"),
         F.col("site_id").alias("siteId"),
         F.col("pump_id").alias("pumpId"),
         sensor.alias("sensorId"),
