@@ -1,7 +1,7 @@
 """Event-time order in streamed state: rows of a key reach a fold sorted, however they arrived.
 
 Arriving rows go into a buffer in the state store, a list per time slot; nothing is sorted or joined on arrival, and a
-micro-batch is appended one Arrow batch at a time. When the watermark has passed a slot's end, an event-time timer takes the slot's
+micro-batch is appended one Arrow batch at a time, an entry for all its rows of a slot. When the watermark has passed a slot's end, an event-time timer takes the slot's
 rows, sorts them and hands them to the fold, whose own state is one small row. So the result does not depend on
 how the input was cut into micro-batches, and memory holds one slot of one key.
 
@@ -14,6 +14,7 @@ Operators can be chained in one query: rows leave with their event time, so a se
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-LISTS = 16  # lists the slots of a key are dealt to; slots that share one are told apart on release
+LISTS = 8  # lists the slots of a key are dealt to; slots that share one are told apart on release
 
 
 class Fold(Protocol):
@@ -90,7 +91,7 @@ class _Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.lists = [handle.getListState(f"slots_{k}", self.kept) for k in range(LISTS)]
+        self.lists = [handle.getListState(f"slots_{k}", "rows binary") for k in range(LISTS)]
         self.folded = handle.getValueState("folded", self.fold.state)
         self.pending = handle.getValueState("pending", "slots array<long>, done long")
 
@@ -105,7 +106,7 @@ class _Ordered(StatefulProcessor):
                 yield self._frame(key, records, [None] * len(late), True)
             for own, part in batch[slot > done].groupby(slot):
                 values = [tuple(map(_plain, r)) for r in part[self.kept.names].itertuples(index=False, name=None)]
-                self.lists[int(own) % LISTS].appendList(values)
+                self.lists[int(own) % LISTS].appendList([(pickle.dumps(values, 5),)])
                 slots.add(int(own))
         for own in slots - before:
             self.handle.registerTimer(max(1, (own + 1) * self.delays.slot_ms - self.delays.behind_ms))
@@ -122,12 +123,11 @@ class _Ordered(StatefulProcessor):
         for slot in due:
             taken = self.lists[slot % LISTS]
             rows, others = [], []
-            for value in taken.get():
-                row = tuple(map(_plain, value))
+            for row in (r for value in taken.get() for r in pickle.loads(bytes(value[0]))):
                 (rows if row[0] // (self.delays.slot_ms * 1000) == slot else others).append(row)
             taken.clear()
             if others:
-                taken.appendList(others)
+                taken.appendList([(pickle.dumps(others, 5),)])
             rows.sort(key=lambda r: r[:2])
             records = [dict(zip(self.kept.names, r, strict=True)) for r in rows]
             state, made = self.fold.step(state, records)
@@ -174,11 +174,17 @@ def in_order(arrived: DataFrame, fold: Fold, columns: list[str], delays: Delays)
 
 
 @contextmanager
-def state_store(spark: SparkSession):
-    """The state store that timers and lists need; queries started inside keep it, the session does not."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+def state_store(spark: SparkSession, partitions: int | None = None):
+    """The state store that timers and lists need, and into how many partitions state is dealt (for as long as a query's checkpoint lives).
+
+    Queries started inside keep both, the session does not.
+    """
+    wanted = {_PROVIDER: _ROCKS} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

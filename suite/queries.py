@@ -1103,7 +1103,8 @@ def stream_status(g: Given) -> DataFrame:
 
 JITTER_DAYS = 30  # readings arrive this much later than they were taken, at most
 DELAYS = Delays(order=(JITTER_DAYS + 1) * 1440, late=1440)
-ARRIVALS, FILES = 6, 2  # micro-batches, and files of each
+ARRIVALS, FILES = 5, 2  # micro-batches, and files of each
+STATE_PARTS = 4
 READY_FROM = 40
 
 
@@ -1129,10 +1130,10 @@ def _arriving(g: Given) -> DataFrame:
 
 @query
 def stream_debounce(g: Given) -> DataFrame:
-    """Alarms that arrive out of order over six micro-batches, decided in event-time order."""
+    """Alarms that arrive out of order over five micro-batches, decided in event-time order."""
     scored = live.stream_status(arriving(_arriving(g), DELAYS), g.fleet)
     made = live.run_to_table(
-        stream_decisions(scored, DELAYS, PAUSE_MINUTES), g.path("decisions"), g.path("decisions-state")
+        stream_decisions(scored, DELAYS, PAUSE_MINUTES), g.path("decisions"), g.path("decisions-state"), partitions=STATE_PARTS
     )
     return made.where("NOT late").select(
         "well_id", "ts", F.col("mask").cast("long").alias("mask"), "blocked_by", "elapsed_minutes"
@@ -1149,7 +1150,7 @@ def stream_dedup(g: Given) -> DataFrame:
 def stream_rolling_24(g: Given) -> DataFrame:
     """Each machine's newest statistics after readings that arrived out of order."""
     made = live.run_to_table(
-        stream_edge_features(_arriving(g), DELAYS, minimum=600), g.path("rolling"), g.path("rolling-state")
+        stream_edge_features(_arriving(g), DELAYS, minimum=600), g.path("rolling"), g.path("rolling-state"), partitions=STATE_PARTS
     )
     made = made.where("NOT late AND well_id <> 'end of stream'")
     stats = [F.col(f"recent_{n}").alias(n) for n in (f"{p}_{s}" for p in PARAMETERS for s in edge.STATISTICS)]
@@ -1296,7 +1297,7 @@ def stream_edge_run(g: Given) -> DataFrame:
         _arriving(g), g.fleet, g.sites, _edge_models(g), EDGE_FEATURES, DELAYS, minutes=PAUSE_MINUTES, minimum=READY_FROM
     )
     path = g.path("edge-outbox")
-    with state_store(g.spark):
+    with state_store(g.spark, STATE_PARTS):
         query = live.start_outbox(run, path, g.path("edge-state"), available_now=True)
     query.awaitTermination()
     return _edge_digest(g.spark.read.parquet(path))
