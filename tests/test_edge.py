@@ -4,15 +4,17 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rotaflow.operators import anomalies, debounce, edge, machine_models
 from rotaflow.operators.fleet import default_tolerances, fleet_limits
 from rotaflow.plans.timeline import Timeline
 from rotaflow.streaming import live
 from rotaflow.streaming.edge import stream_decisions, stream_edge_features, stream_edge_run
-from rotaflow.streaming.ordered import Delays, arriving, in_order, state_store
+from rotaflow.streaming.ordered import PIECE, Delays, _Ordered, arriving, in_order, state_store
 from rotaflow.streaming.folds import Debounce, Rolling
 
 START = datetime(2024, 1, 1)
@@ -125,6 +127,63 @@ def test_rolling_fold_equals_windows(spark, given):
                 assert (value is None) == (want[name] is None) and (value is None or value == pytest.approx(want[name], abs=1e-9))
 
 
+class CountedStore:
+    """A key's state as the processor sees it; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.entries, self.kept = 0, set(), {}, {}
+
+    def getValueState(self, name, schema):
+        return self._state(exists=lambda: name in self.kept, get=lambda: self.kept[name], update=lambda value: self.kept.__setitem__(name, value))
+
+    def getMapState(self, name, key, value):
+        return self._state(getValue=self.entries.__getitem__, updateValue=self.entries.__setitem__, removeKey=self.entries.pop)
+
+    def _state(self, **calls):
+        return type("State", (), {name: staticmethod(self._counted(call)) for name, call in calls.items()})
+
+    def _counted(self, call):
+        def run(*given):
+            self.calls += 1
+            return call(*given)
+
+        return run
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_state_calls_follow_batches_not_slots():
+    """A slot for nearly every reading, as in sparse histories: calls to the state store stay few, rows are put in order all the same."""
+    rng = random.Random(3)
+    n, step, delays = 3000, 40, Delays(order=120, late=30)
+    kept = T.StructType.fromDDL("tick long, reading_id struct<a: long>, flow double, head double, power double, efficiency double")
+    arrivals = sorted(range(n), key=lambda k: k * step + rng.random() * 100)
+    store, out, calls = CountedStore(), [], []
+    processor = _Ordered(Rolling(24, 40), kept, delays)
+    processor.init(store)
+    cuts = [*range(0, n, 500), n]
+    for number, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        rows = [(k * step * 60_000_000, {"a": k}, float(k), 1.0, 2.0, 3.0) for k in arrivals[low:high]]
+        out += processor.handleInputRows(("Well 0",), iter([pd.DataFrame(rows, columns=kept.names)]), None)
+        newest = max(arrivals[:high]) * step * 60_000 + (10**9 if high == n else 0)
+        mark = newest - int(delays.order * 60_000) - delays.behind_ms
+        for at in sorted(t for t in store.timers if t <= mark):
+            out += processor.handleExpiredTimer(("Well 0",), type("Now", (), {"getCurrentWatermarkInMs": staticmethod(lambda: mark)}), None)
+            store.timers.discard(at)
+        calls.append(store.calls)
+    made = pd.concat(out)
+    assert made["reading_id"].map(lambda r: r["a"]).tolist() == list(range(n)) and not made["late"].any()
+    assert made["readings"].tolist() == [min(k + 1, 24) for k in range(n)]
+    assert not store.entries and not store.timers
+    assert calls[-1] < len(calls) * 20 + 3 * n / PIECE
+
+
 def test_models_per_machine(spark, tmp_path):
     rng = np.random.default_rng(4)
     names = [f"x{i}" for i in range(65)]
