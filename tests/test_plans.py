@@ -1,13 +1,14 @@
 """Balanced ordering, exact medians, debouncing and streams against brute force."""
 
 import random
+import re
 import statistics
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from rotaflow.operators import status
+from rotaflow.operators import features, status
 from rotaflow.operators.debounce import debounce
 from rotaflow.plans.medians import medians
 from rotaflow.plans.timeline import Timeline
@@ -79,6 +80,34 @@ def test_features_exchange_readings_once(spark, folder, capsys):
     assert plan.count("+- Sort [") == 1
 
 
+def test_rolling_moments_read_few_rows(spark, folder, capsys):
+    """Frames that are read again for every reading are short, and long ones need one sort less than they have orders."""
+    given = Given(spark, folder)
+    features.engineer_features(given.deviations, given.timeline).explain()
+    frames = {int(n) for n in re.findall(r"RowFrame, -(\d+), currentrow", capsys.readouterr().out)}
+    assert max(frames) < features.SMALLEST
+    long = features.engineer_features(given.deviations, given.timeline, (35, 480))
+    long.select("ts", "flow_rolling_std_480h").explain()
+    assert len(re.findall(r"\+- Sort \[well_id#\d+ ASC NULLS FIRST, .*ts#", capsys.readouterr().out)) == 3
+
+
+def test_united_moments_against_brute_force(spark):
+    """Missing values, a constant stretch and a machine shorter than its window."""
+    rng = random.Random(8)
+    rows = [(f"Well {m}", START + timedelta(hours=i), i, None if rng.random() < 0.2 else 7.3 if i % 90 < 45 else rng.uniform(-80, 80)) for m, n in enumerate((400, 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "well_id string, ts timestamp_ntz, reading_id int, x double")
+    df = df.select("well_id", "ts", "reading_id", *[F.col("x").alias(c) for c in status.DEVIATIONS])
+    names = [f"flow_rolling_{s}_{n}h" for n in (24, 168) for s in ("mean", "std", "max", "min")]
+    for max_rows in (10**6, 60):
+        made = features.engineer_features(df, Timeline.of(df, max_rows=max_rows)).select("well_id", "reading_id", *names)
+        for got in made.collect():
+            own = [r[3] for r in rows if r[0] == got["well_id"]]
+            for n in (24, 168):
+                frame = [x for x in own[max(0, got["reading_id"] + 1 - n) : got["reading_id"] + 1] if x is not None]
+                want = (statistics.fmean(frame) if frame else None, statistics.stdev(frame) if len(frame) > 1 else 0.0, max(frame, default=None), min(frame, default=None))
+                assert [got[f"flow_rolling_{s}_{n}h"] for s in ("mean", "std", "max", "min")] == pytest.approx(list(want), abs=1e-9)
+
+
 def test_bucketed_table_needs_no_exchange(spark, folder, capsys):
     given = Given(spark, folder)
     save_bucketed(given.telemetry.drop("reading_id"), "bucketed_readings", 4)
