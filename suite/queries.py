@@ -246,7 +246,10 @@ def load_site_config(g: Given) -> DataFrame:
         F.struct("site_id", "pump_id", "sensor_ids").alias("site_info"),
         F.struct(F.lit(True).alias("enabled")).alias("anomaly_reporting"),
     )
-    files.write.option("maxRecordsPerFile", 1).json(path)
+    # the dimension is one small file, but every row becomes a file: all cores write, and each task moves its own files to their place
+    spread = files.repartition(4 * g.spark.sparkContext.defaultParallelism, "pump_id")
+    in_tasks = "mapreduce.fileoutputcommitter.algorithm.version"
+    spread.write.option("maxRecordsPerFile", 1).option(in_tasks, "2").json(path)
     return readers.sensor_dimension(readers.load_site_config(g.spark, path))
 
 
