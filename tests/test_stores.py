@@ -37,6 +37,29 @@ def test_outbox_holds_each_reading_once(spark, tmp_path):
     assert with_reported(results, box.read()).where("reported_to_api").count() == 6
 
 
+def test_outbox_leaves_what_is_there(spark, tmp_path):
+    """Adding and marking do not write again what is there already."""
+    box = Outbox(spark, str(tmp_path / "box"), payloads(spark, 1).schema, buckets=2)
+    nothing = spark.createDataFrame([(None, None, "no key", None), (None, None, "a key", None)], payloads(spark, 1).schema)
+    box.add(payloads(spark, 20).unionByName(nothing))
+    first = box.table.parts()
+    box.add(payloads(spark, 30).unionByName(nothing))
+    second = box.table.parts()
+    assert first.items() <= second.items() and sum(p.rows for p in second.values()) == 31
+    told = box.read().select("well_id", "ts", F.lit("sent").alias("delivery_status"))
+    box.mark(told.where("well_id IS NULL OR well_id = 'Well 1'"))
+    assert box.table.parts() == second and box.read().where("delivery_status = 'sent'").count() == 11
+    assert [r["description"] for r in box.read().where("well_id IS NULL").collect()] == ["a key"]
+
+
+def test_outbox_unites_the_pieces_of_a_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("rotaflow.sources.outbox.PIECES", 3)
+    box = Outbox(spark, str(tmp_path / "box"), payloads(spark, 1).schema, buckets=1)
+    for k in range(5):
+        box.add(payloads(spark, 4 * k + 4, 4 * k))
+    assert len(box.table.parts()) == 2 and box.read().count() == 20 == box.read().select("well_id", "ts").distinct().count()
+
+
 def test_two_writers_of_a_version_do_not_both_win(spark, tmp_path):
     table = PartTable(spark, str(tmp_path / "t"), payloads(spark, 1).schema)
     assert table.version() == 0 and table.read().count() == 0
