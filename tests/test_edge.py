@@ -82,6 +82,14 @@ def test_stream_equals_batch_over_shuffled_micro_batches(spark, given, tmp_path)
     assert versions == {"7"}
 
 
+def test_the_run_makes_what_its_records_hold(given):
+    """Readings are scored once, and statistics that no model asks for are not made."""
+    _, telemetry, fleet, sites, models = given
+    run = edge.edge_run(telemetry, fleet, sites, models, ["recent_flow_mean"], Timeline.of(telemetry), minutes=60, minimum=40)
+    plan = run._jdf.queryExecution().optimizedPlan().toString()
+    assert "stddev_samp" not in plan and "Union" not in plan and plan.count("avg(") == 1
+
+
 def test_late_readings_go_aside(spark, given, tmp_path):
     """A reading older than what its machine has been folded up to is returned marked; the others are as without it."""
     _, telemetry, fleet, _, _ = given
@@ -184,6 +192,13 @@ def test_state_calls_follow_batches_not_slots():
     assert calls[-1] < len(calls) * 20 + 3 * n / PIECE
 
 
+def test_machines_are_solved_by_many_tasks(spark):
+    """A machine's moments are few bytes and its solution takes milliseconds: machines are not coalesced by bytes."""
+    rows = spark.range(4000).select(F.concat(F.lit("Well "), F.col("id") % 400).alias("well_id"), F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("rul_days"), F.lit(False).alias("is_test"))
+    made = machine_models.fit_machines(rows, ["x"]).withColumn("task", F.spark_partition_id())
+    assert made.select("well_id").distinct().count() == 400 and len({r["task"] for r in made.collect()}) > 8
+
+
 def test_models_per_machine(spark, tmp_path):
     rng = np.random.default_rng(4)
     names = [f"x{i}" for i in range(65)]
