@@ -140,3 +140,18 @@ def over_batches(keys: Sequence[str], windows: Sequence[int], sliced: bool = Fal
             yield whole.filter(batch.column("_core")) if sliced else whole
 
     return run
+
+
+def last_of_each(keys: Sequence[str]):
+    """A function over batches of rows sorted by ``keys``: of each batch the last rows with the same keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ends = np.ones(batch.num_rows, bool)
+                ends[:-1] = False
+                for column in (batch.column(k) for k in keys):
+                    ends[:-1] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(ends))
+
+    return run

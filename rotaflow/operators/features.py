@@ -14,7 +14,7 @@ from rotaflow import fixed_values as V
 from rotaflow.fixed_values import PARAMETERS
 from rotaflow.functions import rules
 from rotaflow.operators import feature_batches
-from rotaflow.operators.status import DEVIATIONS
+from rotaflow.operators.status import DEVIATIONS, latest_reading
 from rotaflow.plans.timeline import Timeline, micros
 from rotaflow.schemas import feature_names
 
@@ -104,12 +104,12 @@ def _for_batches(deviations: DataFrame, timeline: Timeline, keep: Sequence[str],
     base = deviations.where(F.col("well_id").isNotNull()).select("well_id", "ts", "reading_id", *DEVIATIONS, *series, *keep)
     attached = timeline.with_carry(timeline.attach(base), sums=DEVIATIONS)
     keys = [*timeline.keys(), *series]
-    # no operator between this sort and the batches may deal rows anew; the windows use its order
-    dealt = attached.repartition(*timeline.keys()).sortWithinPartitions(*keys, *timeline.order)
+    # the windows exchange and sort the rows, unless a join before has dealt them by machine already; no operator between them and the batches
+    # may deal rows anew
     whole = W.partitionBy(*keys).orderBy(*timeline.order)
     places = {"_start": timeline.machine_start(whole), "_number": timeline.row_number(whole), "_rows": timeline.machine_rows(whole)}
     single = {f"{p}_abs_deviation": F.abs(f"{p}_deviation_pct") for p in PARAMETERS}
-    return dealt.withColumns(places).withColumns(single | time_features("_start") | interactions())
+    return attached.withColumns(places).withColumns(single | time_features("_start") | interactions())
 
 
 def _features_in_batches(
@@ -327,17 +327,26 @@ class TrainingBatches:
 
     rows: DataFrame
     make: Callable
+    keys: tuple[str, ...]
 
     def through(self, step: Callable, schema: str) -> DataFrame:
         make = self.make
-        return self.rows.mapInArrow(lambda batches: step(make(batches)), schema)
+        return self.rows.drop("ts", "reading_id").mapInArrow(lambda batches: step(make(batches)), schema)
+
+    def newest(self) -> DataFrame:
+        """The newest row of each machine: ``well_id, ts, reading_id`` and the features. Tasks hand on the last rows they see of a machine."""
+        make, kept, last = self.make, ["well_id", "ts", "reading_id", *feature_names()], feature_batches.last_of_each(self.keys)
+        there = {f.name: f for f in self.rows.schema.fields}
+        schema = StructType([there.get(c, StructField(c, DoubleType())) for c in kept])
+        return latest_reading(self.rows.mapInArrow(lambda batches: (b.select(kept) for b in last(make(batches))), schema))
 
 
 def training_batches(deviations: DataFrame, timeline: Timeline, failures: DataFrame, test_share: float = 0.2) -> TrainingBatches:
     timeline = timeline.looking_back(max(V.FEATURE_WINDOWS) + 1)
     rows = _for_batches(_with_failures(deviations, failures), timeline, ("rul_days", "_copies"), ("_copy",))
-    rows = rows.withColumn("is_test", _is_test(test_share)).drop("ts", "reading_id", "_start", "_number", "_rows", "_copies")
-    return TrainingBatches(rows, feature_batches.over_batches([*timeline.keys(), "_copy"], V.FEATURE_WINDOWS, timeline.sliced))
+    rows = rows.withColumn("is_test", _is_test(test_share)).drop("_start", "_number", "_rows", "_copies")
+    keys = (*timeline.keys(), "_copy")
+    return TrainingBatches(rows, feature_batches.over_batches(keys, V.FEATURE_WINDOWS, timeline.sliced), keys)
 
 
 def fit_scaler(train: DataFrame, columns: Sequence[str]) -> DataFrame:

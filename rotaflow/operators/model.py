@@ -20,7 +20,7 @@ from rotaflow.functions import rules
 from rotaflow.operators.features import TrainingBatches
 from rotaflow.operators.machine_models import merged
 from rotaflow.schemas import feature_names
-from rotaflow.session import cut_lineage
+from rotaflow.session import cut_lineage, free_shuffles
 
 MODEL_TYPES = ("random_forest", "gradient_boosting", "linear")
 
@@ -172,6 +172,7 @@ def train_line(spark: SparkSession, batches: TrainingBatches, label: str = "rul_
     """``train_rul`` with a linear model over all features, in two passes over batches; no wide table is written or read."""
     names = feature_names()
     moments = _gathered(batches.through(_task_moments([*names, label]), _MOMENTS))
+    free_shuffles(spark)
     stages = _line_stages(spark, names, label, moments)
     _, scaler, line = stages
     scales, centre = np.array(scaler.std.toArray()), np.array(scaler.mean.toArray())

@@ -28,7 +28,7 @@ from rotaflow.operators import (
 )
 from rotaflow.plans import carry
 from rotaflow.plans.timeline import MAX_ROWS, Timeline
-from rotaflow.session import fresh_path
+from rotaflow.session import free_shuffles, fresh_path
 from rotaflow.sources import readers, warehouse, writers
 from rotaflow.sources.log_store import DatedLog, RankedLog
 from rotaflow.sources.outbox import Outbox
@@ -1356,9 +1356,11 @@ def predict_rul(g: Given) -> DataFrame:
 def save_load_model(g: Given) -> DataFrame:
     """A saved and reloaded model scores the newest readings."""
     path = g.path("model")
-    model.save_model(model.train_rul(g.split, model_type="linear", is_stored=True), path, "linear", "fleet")
+    batches = features.training_batches(g.deviations, g.timeline, g.failures)
+    model.save_model(model.train_line(g.spark, batches), path, "linear", "fleet")
+    free_shuffles(g.spark)
     loaded, names = model.load_model(g.spark, path)
-    scored = model.predict_rul(loaded, status.latest_reading(g.split), names)
+    scored = model.predict_rul(loaded, batches.newest(), names)
     told = g.spark.read.parquet(f"{path}/metadata").select("version", "model_type", "framework").first()
     kept = scored.select("well_id", "ts", "rul_days", "rul_lower", "rul_upper")
     return r6(kept.withColumns({name: F.lit(told[name]) for name in told.asDict()}))
